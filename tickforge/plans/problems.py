@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.functions.canonical import canonicalise
+from tickforge.functions.canonical import canonical_pair, canonical_venue, canonicalise
+from tickforge.operators.anomalies import implausible
 from tickforge.operators.changefeed import closing_books
 from tickforge.operators.latebars import corrected_bars, wrong_bars
 from tickforge.operators.nearest import nearest_in_time
@@ -67,6 +68,14 @@ def p5_bars(spark: SparkSession, d: str) -> DataFrame:
     return bars.select("venue", "symbol", "window_start_us", "low", "high", "median_price", "distinct_prices", "trade_count", F.round("volume", 3).alias("volume"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    quotes = canonical(spark, d, "quotes", "quote_id", "venue", "symbol", "bid_price", "ask_price", "mid", "spread_bps", "event_time_us")
+    pairs = table(spark, d, "divergences").withColumns(
+        {"symbol": canonical_pair(F.col("symbol")), "venue_a": canonical_venue(F.col("venue_a")), "venue_b": canonical_venue(F.col("venue_b"))}
+    )
+    return implausible(quotes, pairs)
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------
 
 _VS = "vs AS (SELECT lower(trim(venue)) v, upper(trim(venue_symbol)) x, min(symbol) s FROM venue_symbols GROUP BY 1, 2)"
@@ -93,6 +102,40 @@ accepted AS (SELECT *, event_time_us // 300000000 * 300000000 AS window_start_us
     AND ingest_time_us < event_time_us // 300000000 * 300000000 + 900000000
     AND arrival NOT IN (SELECT arrival FROM surplus))"""
 
+_SPANS = [(b, a) for b in range(1, 6) for a in range(1, 6) if a + b <= 6]
+
+
+def _off(b: int, a: int) -> str:
+    """The readings between the b-th before and the a-th after all lie off both, to one side."""
+    inner = range(1 - b, a)
+    x = lambda i: "v" if i == 0 else f"lag(v, {-i}) OVER w" if i < 0 else f"lead(v, {i}) OVER w"
+    ends = (x(-b), x(a))
+    tests = [f"abs(({ends[0]}) - ({ends[1]})) < 12 * med"]
+    tests += [f"abs(({x(i)}) - ({e})) >= 25 * med" for i in inner for e in ends]
+    tests += [f"sign(({x(i)}) - ({ends[0]})) = sign(({x(i)}) - ({ends[1]}))" for i in inner]
+    return "(" + " AND ".join(tests) + ")"
+
+
+# A plain statement of the rules: spikes by comparing neighbours, ordinary runs by the first large gap in run lengths.
+_P6_SQL = f"""WITH {_VS}, {_canon('quotes')},
+q AS (SELECT *, concat('q', venue, '|', symbol) e FROM c_quotes WHERE event_time_us > 0 QUALIFY row_number() OVER (PARTITION BY venue, symbol, event_time_us ORDER BY quote_id) = 1),
+d AS (SELECT *, concat('d', symbol, '|', venue_a, '|', venue_b) e FROM divergences WHERE event_time_us > 0 QUALIFY row_number() OVER (PARTITION BY symbol, venue_a, venue_b, event_time_us ORDER BY divergence_id) = 1),
+r AS (SELECT e, 'mid' f, quote_id id, event_time_us t, mid v, NOT isfinite(mid) OR mid <= 0 bad FROM q WHERE mid IS NOT NULL
+  UNION ALL SELECT e, 'spread_bps', quote_id, event_time_us, spread_bps, NOT isfinite(spread_bps) OR spread_bps > 20000 OR (spread_bps < 0 AND coalesce(ask_price >= bid_price, false)) FROM q WHERE spread_bps IS NOT NULL
+  UNION ALL SELECT e, 'divergence_bps', divergence_id, event_time_us, divergence_bps, NOT isfinite(divergence_bps) OR abs(divergence_bps) > 20000 FROM d WHERE divergence_bps IS NOT NULL),
+o AS (SELECT *, lag(v) OVER (PARTITION BY e, f ORDER BY t) p FROM r WHERE NOT bad),
+m AS (SELECT e, f, count(*) n, CASE f WHEN 'mid' THEN median(abs(v - p)) FILTER (WHERE v <> p) WHEN 'spread_bps' THEN median(v) ELSE median(abs(v)) END med FROM o GROUP BY e, f),
+j AS (SELECT o.*, med FROM o JOIN m USING (e, f) WHERE n >= CASE f WHEN 'divergence_bps' THEN 30 ELSE 40 END),
+s AS (SELECT e, f, id FROM j WHERE med > 0 AND (f = 'spread_bps' AND v >= 6 * med OR f = 'divergence_bps' AND abs(v) >= 10 * med)
+  UNION ALL SELECT e, f, id FROM j WHERE f = 'mid' WINDOW w AS (PARTITION BY e, f ORDER BY t) QUALIFY med > 0 AND ({' OR '.join(_off(b, a) for b, a in _SPANS)})),
+c AS (SELECT *, sum(CASE WHEN p IS NULL OR v <> p THEN 1 ELSE 0 END) OVER (PARTITION BY e, f ORDER BY t) run FROM j WHERE f <> 'spread_bps'),
+l AS (SELECT e, f, run, count(*) len FROM c GROUP BY ALL),
+y AS (SELECT e, f, len, lag(len) OVER (PARTITION BY e, f ORDER BY len) below FROM (SELECT DISTINCT e, f, len FROM l)),
+z AS (SELECT e, f, min(len) least FROM y WHERE len >= 3 * coalesce(below, 1) AND len >= 8 GROUP BY ALL),
+st AS (SELECT c.e, c.f, c.id FROM c JOIN l USING (e, f, run) LEFT JOIN z USING (e, f) WHERE CASE f WHEN 'mid' THEN len >= least ELSE len >= 5 END)
+SELECT DISTINCT CASE f WHEN 'divergence_bps' THEN 'divergences' ELSE 'quotes' END AS source_table, id AS record_id, f AS field_name
+FROM (SELECT e, f, id FROM r WHERE bad UNION ALL SELECT * FROM s UNION ALL SELECT * FROM st)"""
+
 ORACLE = {
     "p1_found": f"""WITH {_VS}, {_canon('trades')}, {_canon('quotes')},
       l AS (SELECT arrival, venue, symbol, event_time_us t FROM c_trades WHERE symbol IS NOT NULL AND event_time_us > 0),
@@ -128,6 +171,7 @@ ORACLE = {
     "p5_bars": f"""WITH {_VS}, {_canon('trades')}, {_MESSAGES}, {_ACCEPTED}
       SELECT venue, symbol, window_start_us, min(price) AS low, max(price) AS high, quantile_disc(price, 0.5) AS median_price,
         count(DISTINCT price) AS distinct_prices, count(*) AS trade_count, round(sum(size), 3) AS volume FROM accepted GROUP BY ALL""",
+    "p6_found": _P6_SQL,
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_symbol_totals, p3_found, p4_found, p5_found, p5_bars)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_symbol_totals, p3_found, p4_found, p5_found, p5_bars, p6_found)}
