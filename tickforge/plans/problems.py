@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickforge.functions.canonical import canonical_pair, canonical_venue, canonicalise
 from tickforge.operators.anomalies import implausible
 from tickforge.operators.changefeed import closing_books
+from tickforge.operators.compaction import compact
 from tickforge.operators.latebars import corrected_bars, wrong_bars
 from tickforge.operators.nearest import nearest_in_time
 from tickforge.operators.redelivery import surplus_deliveries
@@ -76,6 +77,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible(quotes, pairs)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    manifest, _ = compact(table(spark, d, "lake_trades"), table(spark, d, "lake_files"))
+    return manifest.select("file_id")
+
+
+def p7_lake(spark: SparkSession, d: str) -> DataFrame:
+    """What the lake holds after compaction, per venue and day."""
+    _, lake = compact(table(spark, d, "lake_trades"), table(spark, d, "lake_files"))
+    venue = canonical_venue(F.col("venue")).alias("venue")
+    return lake.groupBy(venue, F.to_date("event_time").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("trade_id").alias("trade_ids"), F.round(F.sum("size"), 3).alias("volume"), F.sum(F.col("event_time_us") % 1000003).alias("time_sum")
+    )
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------
 
 _VS = "vs AS (SELECT lower(trim(venue)) v, upper(trim(venue_symbol)) x, min(symbol) s FROM venue_symbols GROUP BY 1, 2)"
@@ -172,6 +187,12 @@ ORACLE = {
       SELECT venue, symbol, window_start_us, min(price) AS low, max(price) AS high, quantile_disc(price, 0.5) AS median_price,
         count(DISTINCT price) AS distinct_prices, count(*) AS trade_count, round(sum(size), 3) AS volume FROM accepted GROUP BY ALL""",
     "p6_found": _P6_SQL,
+    "p7_found": """WITH f AS (SELECT file_id, n_bytes, replace(replace(upper(trim(symbol)), '/', '-'), '_', '-') s, CAST(min_event_time AS DATE) d
+        FROM lake_files WHERE committed_at IS NOT NULL AND replaced_by IS NULL AND n_bytes < 16384)
+      SELECT file_id FROM f WHERE s <> '' AND d IS NOT NULL QUALIFY count(*) OVER (PARTITION BY s, d) >= 2""",
+    "p7_lake": """SELECT lower(trim(venue)) AS venue, CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT trade_id) AS trade_ids,
+        round(sum(size), 3) AS volume, CAST(sum(event_time_us % 1000003) AS BIGINT) AS time_sum
+      FROM (SELECT DISTINCT * EXCLUDE (file_id) FROM lake_trades WHERE file_id IN (SELECT file_id FROM lake_files WHERE committed_at IS NOT NULL AND replaced_by IS NULL)) GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_symbol_totals, p3_found, p4_found, p5_found, p5_bars, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_symbol_totals, p3_found, p4_found, p5_found, p5_bars, p6_found, p7_found, p7_lake)}
