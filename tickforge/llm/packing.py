@@ -29,98 +29,87 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """
     if not len(sizes):
         return np.zeros(0, np.int64)
-    bins: list[list[int]] = []
+    bin_of = np.empty(len(sizes), np.int64)
     room: list[tuple[int, int]] = []
+    count = 0
     for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
         at = bisect_left(room, (s, -1))
         if at == len(room):
-            bins.append([i])
-            left, b = capacity - s, len(bins) - 1
+            left, b = capacity - s, count
+            count += 1
         else:
             left, b = room.pop(at)
-            bins[b].append(i)
             left -= s
+        bin_of[i] = b
         if left:
             insort(room, (left, b))
-    _search(bins, sizes, capacity)
-    out = np.empty(len(sizes), np.int64)
-    for number, items in enumerate(b for b in bins if b):
-        out[items] = number
-    return out
+    _search(bin_of, sizes, count, capacity)
+    return np.unique(bin_of, return_inverse=True)[1]
 
 
-def _search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> None:
+def _search(bin_of: np.ndarray, sizes: np.ndarray, count: int, capacity: int) -> None:
     """Local search in place; every step raises the sum of squared fills, so it ends."""
-    fill = np.array([int(sizes[b].sum()) for b in bins])
+    fill = np.bincount(bin_of, weights=sizes, minlength=count).astype(np.int64)
     least = -(-int(fill.sum()) // capacity)
-    count = len(bins)
-    stuck = np.zeros(len(bins), bool)
-    underfull = items = owner = None
+    stuck = np.zeros(count, bool)
     while count > least:
-        if items is None:
-            underfull = np.flatnonzero((fill < capacity) & (fill > 0))
-            owner = np.repeat(underfull, [len(bins[b]) for b in underfull])
-            items = np.fromiter((i for b in underfull for i in bins[b]), np.int64, len(owner))
-        candidates = underfull[~stuck[underfull]]
-        if not len(candidates) or len(underfull) < 2:
+        candidates = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(candidates):
             return
         a = int(candidates[fill[candidates].argmin()])
-        elsewhere = owner != a
-        if _improve(a, bins, sizes, fill, capacity, underfull[underfull != a], items[elsewhere], owner[elsewhere]):
-            items = None
-            count -= not bins[a]
-        else:
+        step = _step(a, bin_of, sizes, fill, capacity)
+        if step is None:
             stuck[a] = True
-
-
-def _improve(a: int, bins, sizes, fill, capacity: int, others: np.ndarray, items: np.ndarray, owner: np.ndarray) -> bool:
-    """One step that takes size out of bin ``a`` into fuller bins; False if there is none."""
-    own = sorted(bins[a], key=lambda i: -sizes[i])
-
-    def apply(b: int, give: list[int], take: list[int]) -> bool:
+            continue
+        b, give, take = step
         delta = int(sizes[give].sum() - sizes[take].sum())
-        for i in give:
-            bins[a].remove(i)
-        for i in take:
-            bins[b].remove(i)
-        bins[a] += take
-        bins[b] += give
+        bin_of[give], bin_of[take] = b, a
         fill[a] -= delta
         fill[b] += delta
-        return True
+        count -= fill[a] == 0
+
+
+def _step(a: int, bin_of: np.ndarray, sizes: np.ndarray, fill: np.ndarray, capacity: int) -> tuple[int, list[int], list[int]] | None:
+    """(bin, items it gets, items it gives): a step that takes size out of bin ``a`` into a fuller bin."""
+    own = np.flatnonzero(bin_of == a)
+    own = own[np.argsort(-sizes[own], kind="stable")].tolist()
+    room = capacity - fill
+    room[(fill == 0) | (np.arange(len(fill)) == a)] = -1
 
-    def best(delta: np.ndarray, bin_: np.ndarray) -> int:
+    def best(delta: np.ndarray | int, bins: np.ndarray | slice) -> int:
         """Place of the exchange that leaves least room among those that fit and raise the squared fills."""
-        ok = (delta > 0) & (delta <= capacity - fill[bin_]) & (fill[bin_] - fill[a] + delta > 0)
-        if not ok.any():
-            return -1
-        left = np.where(ok, capacity - fill[bin_] - delta, capacity + 1)
-        return int(left.argmin())
+        space = room[bins]
+        left = space - delta
+        ok = (delta > 0) & (left >= 0) & (fill[bins] - fill[a] + delta > 0)
+        left[~ok] = capacity + 1
+        k = int(left.argmin())
+        return k if left[k] <= capacity else -1
 
     for i in own:  # move
-        k = best(np.full(len(others), sizes[i]), others)
+        k = best(int(sizes[i]), slice(None))
         if k >= 0:
-            return apply(int(others[k]), [i], [])
+            return k, [i], []
     for i in own:  # one for one
-        k = best(sizes[i] - sizes[items], owner)
+        k = best(sizes[i] - sizes, bin_of)
         if k >= 0:
-            return apply(int(owner[k]), [i], [int(items[k])])
+            return int(bin_of[k]), [i], [k]
     largest = own[:LARGEST]
     for x in range(len(largest)):  # two for one
         for y in range(x + 1, len(largest)):
-            k = best(sizes[own[x]] + sizes[own[y]] - sizes[items], owner)
+            k = best(sizes[largest[x]] + sizes[largest[y]] - sizes, bin_of)
             if k >= 0:
-                return apply(int(owner[k]), [own[x], own[y]], [int(items[k])])
-    same = np.flatnonzero(owner[1:] == owner[:-1])  # one for two neighbours of a bin
-    if len(same):
-        both = sizes[items[same]] + sizes[items[same + 1]]
+                return int(bin_of[k]), [largest[x], largest[y]], [k]
+    order = np.argsort(bin_of, kind="stable")
+    pairs = np.flatnonzero(bin_of[order[1:]] == bin_of[order[:-1]])  # one for two neighbours of a bin
+    if len(pairs):
+        first, second = order[pairs], order[pairs + 1]
+        both = sizes[first] + sizes[second]
         for i in own:
-            k = best(sizes[i] - both, owner[same])
+            k = best(sizes[i] - both, bin_of[first])
             if k >= 0:
-                at = int(same[k])
-                return apply(int(owner[at]), [i], [int(items[at]), int(items[at + 1])])
-    return False
+                return int(bin_of[first[k]]), [i], [int(first[k]), int(second[k])]
+    return None
 
 
 def _emit(keys: pa.Array, parts: np.ndarray, sizes: np.ndarray, bins: np.ndarray, prefix: str, key: str) -> pa.RecordBatch:
