@@ -193,6 +193,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     read = docs.select(F.col(key), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text))
     found = read.select(key, "source", text).mapInArrow(search, f"key {kind}, source string, unit string")
     stored = docs.sparkSession.read.parquet(write_shared(found, "units"))
-    per_message = stored.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.xxhash64("source"), F.lit(63)).cast("int"))).alias("s"))
+    sources = F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(source), 63) as int)))").alias("s")
+    per_message = stored.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), sources)
     messages = per_message.select("unit", "n", F.bit_count("s").alias("sources")).mapInArrow(classify, "unit string")
     return stored.join(messages, "unit", "left_semi").select(F.col("key").alias(key)).distinct()
