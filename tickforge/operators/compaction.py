@@ -58,10 +58,11 @@ def compact(rows: DataFrame, files: DataFrame, small_bytes: int = SMALL_BYTES) -
     stay = live_files(files).select("file_id").join(plan, "file_id", "left_anti")
     staying = rows.join(stay, "file_id", "left_semi").select(content)
     same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in content]
-    moved = rows.join(plan, "file_id").groupBy(*content).agg(F.min_by(F.struct("lake_symbol", "lake_day"), "file_id").alias("__at"))
-    moved = moved.alias("l").join(staying.alias("r"), same, "left_anti").select(*content, F.col("__at.lake_symbol").alias("lake_symbol"), F.col("__at.lake_day").alias("lake_day"))
+    groups = plan.select(F.col("file_id"), F.struct("lake_symbol", "lake_day").alias("__at"))
+    moved = rows.join(groups, "file_id").groupBy(*content).agg(F.min_by("__at", "file_id").alias("__at"))
+    moved = moved.alias("l").join(staying.alias("r"), same, "left_anti")
 
-    path = write_shared(moved.hint("rebalance", "lake_symbol", "lake_day").sortWithinPartitions("lake_symbol", "lake_day"), "compacted")
+    path = write_shared(moved.hint("rebalance", "__at").sortWithinPartitions("__at"), "compacted")
     written = spark.read.parquet(path)
     if multiset_checksum(moved) != multiset_checksum(written):
         raise ChecksumMismatch(path)
