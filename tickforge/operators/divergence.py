@@ -52,18 +52,18 @@ def pair_observations(quotes: DataFrame, venues: list[str], order: str, rules: D
 
 
 def scored(observations: DataFrame, order: str, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
-    """Observations with n, mean, sd and z of the up to ``ring`` observations of their pair before them."""
+    """Observations with number, mean, deviation and z-score (prior_*, zscore) of the up to ``ring`` observations of their pair before them."""
     prior = Window.partitionBy("symbol", "venue_a", "venue_b").orderBy(order).rowsBetween(-rules.ring, -1)
     d = F.col("divergence_bps")
-    s = observations.withColumns({"n": F.count(d).over(prior), "mean": F.avg(d).over(prior), "sd": F.stddev_samp(d).over(prior)})
-    return s.withColumn("zscore", F.when(F.col("n") < 2, None).when(F.col("sd") == 0, 0.0).otherwise((d - F.col("mean")) / F.col("sd")))
+    s = observations.withColumns({"prior_n": F.count(d).over(prior), "prior_mean": F.avg(d).over(prior), "prior_sd": F.stddev_samp(d).over(prior)})
+    return s.withColumn("zscore", F.when(F.col("prior_n") < 2, None).when(F.col("prior_sd") == 0, 0.0).otherwise((d - F.col("prior_mean")) / F.col("prior_sd")))
 
 
 def divergences(quotes: DataFrame, venues: list[str], order: str, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
     """Events where a warm baseline, the size and the z-score all say so."""
     s = scored(pair_observations(quotes, venues, order, rules), order, rules)
-    fire = (F.col("n") >= rules.warm) & (F.abs("divergence_bps") >= rules.min_bps) & (F.abs("zscore") >= rules.min_zscore)
-    return s.where(fire).drop("n", "mean", "sd")
+    fire = (F.col("prior_n") >= rules.warm) & (F.abs("divergence_bps") >= rules.min_bps) & (F.abs("zscore") >= rules.min_zscore)
+    return s.where(fire).drop("prior_n", "prior_mean", "prior_sd")
 
 
 def subscription(events: DataFrame, min_bps: float = 0.0, min_zscore: float = 0.0) -> DataFrame:
