@@ -18,6 +18,8 @@ from tickforge.sources.shared import write_shared
 ITEMS, ROUNDS, CLOSED = 8_192, 3, 0.98
 #: Of a bin to be emptied, so many of its largest items are tried in pairs; all are tried singly.
 LARGEST = 16
+#: Times that the search goes over all underfull bins at most; it ends earlier when a pass changes nothing.
+PASSES = 8
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -53,15 +55,21 @@ def _search(bin_of: np.ndarray, sizes: np.ndarray, count: int, capacity: int) ->
     fill = np.bincount(bin_of, weights=sizes, minlength=count).astype(np.int64)
     least = -(-int(fill.sum()) // capacity)
     stuck = np.zeros(count, bool)
+    passes, changed = 0, False
     while count > least:
         candidates = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
         if not len(candidates):
-            return
+            passes += 1
+            if not changed or passes == PASSES:
+                return
+            stuck[:], changed = False, False  # what was stuck may have found room since
+            continue
         a = int(candidates[fill[candidates].argmin()])
         step = _step(a, bin_of, sizes, fill, capacity)
         if step is None:
             stuck[a] = True
             continue
+        changed = True
         b, give, take = step
         delta = int(sizes[give].sum() - sizes[take].sum())
         bin_of[give], bin_of[take] = b, a
