@@ -58,3 +58,10 @@ def test_bloom_never_misses():
     f.add(ids)
     assert f.may_hold(ids).all()
     assert f.may_hold(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20000)).mean() < 0.02
+
+
+def test_many_buckets_are_searched_as_a_tree(spark, rows):
+    # 300 buckets, more than one level of filters; each message comes again 250 buckets later
+    data = [(i, "a", "X", f"m{i % 500}", -1, i // 2, 1.0, 1) for i in range(600)]
+    got = rows(surplus_deliveries(spark.createDataFrame(data, S), 1), "first_arrival", "arrival")
+    assert got == [(i - 500, i) for i in range(500, 600)]

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from tickforge.sources.shared import write_shared
 
 #: Width of the time buckets of delivery; each gets a Bloom filter of its own.
-BUCKET_US = 3_600_000_000
+BUCKET_US = 21_600_000_000
+#: Filters that are joined to one of the next level.
+BRANCH = 16
 #: Bits of a Bloom filter per identifier, and probes per identifier.
 BITS, PROBES = 16, 4
 
@@ -31,7 +33,6 @@ class Bloom:
     def __init__(self, capacity: int):
         self.mask = np.uint64((1 << max(6, int(capacity * BITS - 1).bit_length())) - 1)
         self.words = np.zeros((int(self.mask) + 1) >> 6, np.uint64)
-        self.room = capacity
 
     def _places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h = hashes.view(np.uint64)
@@ -43,7 +44,6 @@ class Bloom:
     def add(self, hashes: np.ndarray) -> None:
         for word, bit in self._places(hashes):
             np.bitwise_or.at(self.words, word, bit)
-        self.room -= len(hashes)
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         hit = np.ones(len(hashes), bool)
@@ -52,41 +52,66 @@ class Bloom:
         return hit
 
 
+class _Node:
+    """A filter over one bucket, or over the buckets of its children together."""
+
+    def __init__(self, ids: np.ndarray, bucket: int | None = None, children: list[_Node] | None = None):
+        self.ids, self.bucket, self.children = ids, bucket, children
+        self.filter = Bloom(len(ids))
+        self.filter.add(ids)
+
+
+class _History:
+    """The filters of all buckets so far, as a tree: a search goes down only where a filter matches."""
+
+    def __init__(self):
+        self.levels: list[list[_Node]] = [[]]
+
+    def add(self, bucket: int, ids: np.ndarray) -> None:
+        node = _Node(ids, bucket)
+        for level in range(len(self.levels) + 1):
+            if level == len(self.levels):
+                self.levels.append([])
+            self.levels[level].append(node)
+            if len(self.levels[level]) < BRANCH:
+                return
+            children, self.levels[level] = self.levels[level], []
+            node = _Node(np.concatenate([c.ids for c in children]), children=children)
+            for c in children:
+                c.ids = None
+
+    def matches(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(bucket, identifiers) of each bucket whose filter knows some of ``ids``."""
+        found, todo = [], [(n, ids) for level in self.levels for n in level]
+        while todo:
+            node, suspects = todo.pop()
+            hit = suspects[node.filter.may_hold(suspects)]
+            if len(hit) and node.children is None:
+                found.append((node.bucket, hit))
+            elif len(hit):
+                todo.extend((c, hit) for c in node.children)
+        return found
+
+
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, hash) of all identifiers that may occur more than once; the input is sorted by bucket.
 
-    Identifiers of a bucket are first held against filters over all earlier buckets together, which grow in size
-    geometrically; only those that hit are held against the filter of each earlier bucket, so that storage is
-    searched just where a filter matched. What no filter knows is new and is never looked at again.
+    Identifiers of a bucket are held against the filters of the earlier buckets; what no filter knows, and occurs once
+    in its bucket, is new and never looked at again. For the rest, the cells of every matching bucket are named.
     """
-    everything: list[Bloom] = []
-    filters: list[tuple[int, Bloom]] = []
+    history = _History()
 
     def close(bucket: int, parts: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch | None:
         ids, n = np.concatenate(parts), np.concatenate(counts)
-        seen = np.zeros(len(ids), bool)
-        for f in everything:
-            seen |= f.may_hold(ids)
-        out_b, out_h = [np.full(int((n > 1).sum()), bucket, np.int64)], [ids[n > 1]]
-        if seen.any():
-            suspects = ids[seen]
-            matched = np.zeros(len(suspects), bool)
-            for b, f in filters:
-                hit = f.may_hold(suspects)
-                matched |= hit
-                out_b.append(np.full(int(hit.sum()), b, np.int64))
-                out_h.append(suspects[hit])
-            rest = matched & (n[seen] == 1)
-            out_b.append(np.full(int(rest.sum()), bucket, np.int64))
-            out_h.append(suspects[rest])
-        own = Bloom(len(ids))
-        own.add(ids)
-        filters.append((bucket, own))
-        if not everything or everything[-1].room < len(ids):
-            everything.append(Bloom(max(1 << 16, len(ids), 2 * (int(everything[-1].mask) + 1) // BITS if everything else 0)))
-        everything[-1].add(ids)
-        b, h = np.concatenate(out_b), np.concatenate(out_h)
-        return pa.RecordBatch.from_arrays([pa.array(b), pa.array(h)], names=["__bucket", "__hash"]) if len(b) else None
+        earlier = history.matches(ids)
+        history.add(bucket, ids)
+        again = np.isin(ids, np.concatenate([h for _, h in earlier])) if earlier else np.zeros(len(ids), bool)
+        own = ids[again | (n > 1)]
+        cells = [*earlier, (bucket, own)] if len(own) else earlier
+        if not cells:
+            return None
+        b = np.concatenate([np.full(len(h), at, np.int64) for at, h in cells])
+        return pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.concatenate([h for _, h in cells]))], names=["__bucket", "__hash"])
 
     now, parts, counts = None, [], []
     for batch in batches:
