@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.market import divergence_bps, is_valid_quote, mid
+from tickforge.operators.scans import numbered, running_last, running_max_before, with_rows_before
+
+#: Observations of a pair that one task scores at once.
+BLOCK = 16_384
 
 
 @dataclass(frozen=True)
@@ -21,25 +25,25 @@ class DivergenceRules:
 
 def accepted_quotes(quotes: DataFrame, order: str) -> DataFrame:
     """Quotes that aren't older than one already seen of their symbol and venue; equal times replace."""
-    seen = Window.partitionBy("symbol", "venue").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return quotes.withColumn("__seen", F.max("event_time_us").over(seen)).where("__seen is null or event_time_us >= __seen").drop("__seen")
+    seen = running_max_before(quotes, ["symbol", "venue"], order, "event_time_us", "__seen")
+    return seen.where("__seen is null or event_time_us >= __seen").drop("__seen")
 
 
 def pair_observations(quotes: DataFrame, venues: list[str], order: str, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
     """All fresh pairs at every accepted quote: (symbol, order, venue_a, venue_b, price_a, price_b, bps, times).
 
-    The newest quote per venue is carried forward by a running window, so no join is needed. A pair counts if both
-    quotes are valid and at most ``max_age_us`` older than the arriving one.
+    The newest quote per venue is carried forward by a running scan in slices of ``order`` (a unique integer), so no
+    join of quotes is needed and a hot symbol stays spread. A pair counts if both quotes are valid and at most
+    ``max_age_us`` older than the arriving one.
     """
-    running = Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    q = accepted_quotes(quotes, order)
     state = F.struct("event_time_us", mid("bid_price", "ask_price").alias("mid"), is_valid_quote("bid_price", "ask_price").alias("ok"))
-    newest = q.select("symbol", order, F.col("event_time_us").alias("now"), *[F.last(F.when(F.col("venue") == v, state), ignorenulls=True).over(running).alias(f"v{i}") for i, v in enumerate(venues)])
+    needed = accepted_quotes(quotes.select("symbol", "venue", order, "event_time_us", "bid_price", "ask_price"), order)
+    newest = running_last(needed, ["symbol"], order, {f"v{i}": F.when(F.col("venue") == v, state) for i, v in enumerate(venues)})
     pairs = F.array(*[
         F.struct(F.lit(a).alias("venue_a"), F.lit(b).alias("venue_b"), F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b"))
         for i, a in enumerate(venues) for j, b in enumerate(venues) if a < b
     ])
-    fresh = lambda x: F.col(f"p.{x}.ok") & (F.col("now") - F.col(f"p.{x}.event_time_us") <= rules.max_age_us)
+    fresh = lambda x: F.col(f"p.{x}.ok") & (F.col("event_time_us") - F.col(f"p.{x}.event_time_us") <= rules.max_age_us)
     return (
         newest.withColumn("p", F.explode(pairs)).where(fresh("a") & fresh("b"))
         .select(
@@ -52,11 +56,18 @@ def pair_observations(quotes: DataFrame, venues: list[str], order: str, rules: D
 
 
 def scored(observations: DataFrame, order: str, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
-    """Observations with number, mean, deviation and z-score (prior_*, zscore) of the up to ``ring`` observations of their pair before them."""
-    prior = Window.partitionBy("symbol", "venue_a", "venue_b").orderBy(order).rowsBetween(-rules.ring, -1)
+    """Observations with number, mean, deviation and z-score (prior_*, zscore) of the up to ``ring`` observations of their pair before them.
+
+    A pair's observations are numbered and cut into blocks that also see the ``ring`` observations before them, so one
+    pair's baseline can be computed by many tasks.
+    """
+    pair = ["symbol", "venue_a", "venue_b"]
+    blocks = with_rows_before(numbered(observations, pair, order, "__number"), "__number", rules.ring, max(rules.ring, BLOCK))
+    prior = Window.partitionBy(*pair, "__block").orderBy("__number").rowsBetween(-rules.ring, -1)
     d = F.col("divergence_bps")
-    s = observations.withColumns({"prior_n": F.count(d).over(prior), "prior_mean": F.avg(d).over(prior), "prior_sd": F.stddev_samp(d).over(prior)})
-    return s.withColumn("zscore", F.when(F.col("prior_n") < 2, None).when(F.col("prior_sd") == 0, 0.0).otherwise((d - F.col("prior_mean")) / F.col("prior_sd")))
+    s = blocks.withColumns({"prior_n": F.count(d).over(prior), "prior_mean": F.avg(d).over(prior), "prior_sd": F.stddev_samp(d).over(prior)}).where("not is_halo")
+    z = F.when(F.col("prior_n") < 2, None).when(F.col("prior_sd") == 0, 0.0).otherwise((d - F.col("prior_mean")) / F.col("prior_sd"))
+    return s.withColumn("zscore", z).drop("__block", "__number", "is_halo")
 
 
 def divergences(quotes: DataFrame, venues: list[str], order: str, rules: DivergenceRules = DivergenceRules()) -> DataFrame:

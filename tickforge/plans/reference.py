@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tickforge.functions import market as m
 from tickforge.functions.canonical import canonical_pair, canonical_venue
 from tickforge.operators import bars as b
-from tickforge.operators import decode, folds, metrics, serving
+from tickforge.operators import decode, folds, metrics, scans, serving
 from tickforge.operators import divergence as dv
 from tickforge.plans.problems import _VS, _canon, canonical
 from tickforge.sources import table
@@ -266,8 +266,7 @@ def sequence_stats(spark, d):
 SELECT venue, count(*) AS n, count(*) FILTER (WHERE sequence > prior + 1) AS gaps, CAST(coalesce(sum(sequence - prior - 1) FILTER (WHERE sequence > prior + 1), 0) AS BIGINT) AS missing, count(*) FILTER (WHERE sequence <= prior) AS behind FROM r GROUP BY venue""")
 def sequence_running_max(spark, d):
     """Gaps against the highest sequence so far, where counters don't restart."""
-    prior = F.max("sequence").over(Window.partitionBy("venue").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    r = _trades(spark, d).where("sequence >= 0").select("venue", "arrival", "sequence").withColumn("prior", prior)
+    r = scans.running_max_before(_trades(spark, d).where("sequence >= 0").select("venue", "arrival", "sequence"), ["venue"], "arrival", "sequence", "prior")
     gap = F.col("sequence") > F.col("prior") + 1
     return r.groupBy("venue").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.col("sequence") - F.col("prior") - 1)), F.lit(0)).alias("missing"), F.count_if(F.col("sequence") <= F.col("prior")).alias("behind"))
 
