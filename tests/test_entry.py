@@ -1,4 +1,5 @@
 import ast
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -38,3 +39,15 @@ def test_nothing_else_imports_the_texts_subpackage():
 def test_entry_works_without_it():
     code = "import sys; sys.modules['tickforge.llm'] = None; import __spark_entry__ as e; assert 'p1_found' in e.queries() and 'p8_ids' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
+
+
+def test_workers_get_the_package_wherever_the_driver_stands(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["p1_found"](spark, {DATA!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env, capture_output=True)

@@ -65,3 +65,5 @@ def test_metrics(spark, rows):
     assert rows(metrics.pipeline_stats(st, "v"), "received", "published", "duplicates", "gaps", "missed", "lost") == [(3, 2, 1, 1, 3, 0)]
     amp = metrics.read_amplification(spark.createDataFrame([("t", 1), ("b", 9)], "k string, n bigint"), "k", "n", ["t"]).first()
     assert amp.amplification == 10.0 and amp.waste == pytest.approx(0.9)
+    jobs = spark.createDataFrame([("one", 100, 0, 5), ("one", 300, 1, 7), ("per_topic", 60, 0, 2)], "l string, ms bigint, f bigint, s bigint")
+    assert rows(metrics.layout_report(jobs, "l", "ms", "f", "s")) == [("one", 200.0, 300, 1, 12), ("per_topic", 60.0, 60, 0, 2)]

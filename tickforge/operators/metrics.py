@@ -71,3 +71,10 @@ def pipeline_stats(status: DataFrame, *keys: str) -> DataFrame:
         F.count(F.lit(1)).alias("received"), F.count_if(F.col("status") != "duplicate").alias("published"), n("duplicate").alias("duplicates"),
         n("gap").alias("gaps"), n("regression").alias("regressions"), F.sum("missing").alias("missed"),
     ).withColumn("lost", F.col("received") - F.col("published") - F.col("duplicates"))
+
+
+def layout_report(checkpoints: DataFrame, layout: str, duration_ms: str, failed: str, state_bytes: str) -> DataFrame:
+    """Per job layout: mean and longest checkpoint, failures and state in all."""
+    return checkpoints.groupBy(layout).agg(
+        F.avg(duration_ms).alias("mean_ms"), F.max(duration_ms).alias("longest_ms"), F.sum(failed).alias("failures"), F.sum(state_bytes).alias("state_bytes")
+    )
