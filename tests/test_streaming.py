@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tickforge.operators import bars as b
 from tickforge.operators import folds
+from tickforge.operators.divergence import DivergenceRules, divergences
 from tickforge.sources import generate
 from tickforge.sources.config import Config
 from tickforge.streaming import jobs
@@ -81,3 +84,25 @@ def test_repeats_within_the_delay_and_unknown_job(spark, feed):
     with pytest.raises(ValueError):
         jobs.run_job("nothing", t, Config(), "")
     assert jobs.health({"batchId": 1, "durationMs": {"triggerExecution": 5}, "numInputRows": 2, "stateOperators": [{"numRowsTotal": 3}]}) == {"batch": 1, "duration_ms": 5, "rows": 2, "state_rows": 3}
+
+
+def test_divergence_stream_equals_batch(spark, rows, feed):
+    r = random.Random(8)
+    rules = DivergenceRules(max_age_us=50, ring=20, warm=5, min_bps=5, min_zscore=1.5)
+    data = [(n, n, r.choice("XY"), r.choice("abc"), m := 100 * (1 + r.gauss(0, 8e-4)), m, 5 * n) for n in range(300)]
+    q = spark.createDataFrame(data, "sequence bigint, arrival bigint, symbol string, venue string, bid_price double, ask_price double, event_time_us bigint")
+    cols = ("symbol", "arrival", "venue_a", "venue_b", F.round("divergence_bps", 6), F.round("zscore", 6), "window_start_us", "event_time_us")
+    path = feed(q.withColumn("sequence", F.expr("sequence div 100")), "dv", 3)  # three batches, in order
+    done([jobs.to_memory(jobs.divergence_stream(path, rules), "dv")])
+    want = rows(divergences(q, ["a", "b", "c"], "arrival", rules), *cols)
+    assert rows(spark.table("dv"), *cols) == want and len(want) > 20
+
+
+def test_late_trades_correct_bars_up_to_the_cut_off(spark, rows, feed, tmp_path):
+    u = 1_000_000
+    data = [(0, "v", "X", 5.0, 1.0, 10 * u, 11 * u), (0, "v", "X", 7.0, 1.0, 20 * u, 21 * u), (1, "v", "X", 1.0, 1.0, 30 * u, 800 * u), (1, "v", "X", 9.0, 1.0, 40 * u, 900 * u)]
+    t = spark.createDataFrame(data, "sequence bigint, venue string, symbol string, price double, size double, event_time_us bigint, ingest_time_us bigint")
+    config = Config(checkpoint_path=f"{tmp_path}/c")
+    done(jobs.run_job("late", feed(t, "late", 2), config, f"file://{tmp_path}/o"))
+    at = lambda v: rows(jobs.corrected_bars_at(spark, f"file://{tmp_path}/o/late-bars", v), "low", "high", "median_price", "trade_count")
+    assert at(0) == [(5.0, 7.0, 5.0, 2)] and at(1) == [(1.0, 7.0, 5.0, 3)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
+from itertools import combinations
+from math import fsum
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +80,37 @@ def divergences(quotes: DataFrame, venues: list[str], order: str, rules: Diverge
     return s.where(fire).drop("prior_n", "prior_mean", "prior_sd")
 
 
+class Detector:
+    """The same detector for one symbol, quote by quote: the newest quote per venue and a ring of observations per pair."""
+
+    def __init__(self, rules: DivergenceRules = DivergenceRules()):
+        self.rules = rules
+        self.quotes: dict[str, tuple[int, float, bool]] = {}
+        self.rings: dict[tuple[str, str], deque[float]] = {}
+
+    def observe(self, venue: str, bid: float, ask: float, event_time_us: int) -> list[tuple]:
+        """(venue_a, venue_b, price_a, price_b, bps, zscore, window_start_us, event_time_us) of each event of this quote."""
+        known = self.quotes.get(venue)
+        if known is not None and known[0] > event_time_us:
+            return []
+        self.quotes[venue] = (event_time_us, (bid + ask) / 2, 0 < bid <= ask)
+        fresh = sorted(v for v, (t, _, ok) in self.quotes.items() if ok and event_time_us - t <= self.rules.max_age_us)
+        events = []
+        for a, b in combinations(fresh, 2):
+            (ta, ma, _), (tb, mb, _) = self.quotes[a], self.quotes[b]
+            bps = (mb - ma) / ((ma + mb) / 2) * 10_000
+            ring = self.rings.setdefault((a, b), deque(maxlen=self.rules.ring))
+            n = len(ring)
+            if n >= max(2, self.rules.warm):
+                mean = fsum(ring) / n
+                sd = (fsum((x - mean) ** 2 for x in ring) / (n - 1)) ** 0.5
+                z = (bps - mean) / sd if sd else 0.0
+                if abs(bps) >= self.rules.min_bps and abs(z) >= self.rules.min_zscore:
+                    events.append((a, b, ma, mb, bps, z, min(ta, tb), max(ta, tb)))
+            ring.append(bps)
+        return events
+
+
 def subscription(events: DataFrame, min_bps: float = 0.0, min_zscore: float = 0.0) -> DataFrame:
     """Events that a subscriber with these thresholds gets."""
     return events.where((F.abs("divergence_bps") >= min_bps) & (F.abs("zscore") >= min_zscore))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tickforge.functions.market import valid_trade, vwap
 from tickforge.operators.bars import bar_states
+from tickforge.operators.divergence import Detector, DivergenceRules
 from tickforge.operators.folds import Book, GapDetector
+from tickforge.operators.latebars import CUT_OFF_US, WINDOW_US, bars_from_counts, merge_counts, value_counts
 from tickforge.sources import lake
 from tickforge.sources.config import Config
 
@@ -113,6 +116,60 @@ def quote_stream(deltas: DataFrame, depth: int = 50) -> DataFrame:
     return cols.groupBy("venue", "symbol").transformWithStateInPandas(BookProcessor(depth), schema, "Append", "None")
 
 
+class DivergenceProcessor(StatefulProcessor):
+    """The divergence detector of a symbol; newest quotes and rings live in the state store."""
+
+    def __init__(self, rules: DivergenceRules = DivergenceRules()):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.quotes = handle.getMapState("quotes", "venue string", "event_time_us bigint, mid double, ok boolean")
+        self.rings = handle.getMapState("rings", "venue_a string, venue_b string", "bps array<double>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        detector = Detector(self.rules)
+        detector.quotes = {k[0]: tuple(v) for k, v in self.quotes.iterator()}
+        detector.rings = {tuple(k): deque(v[0], self.rules.ring) for k, v in self.rings.iterator()}
+        out = []
+        for r in pd.concat(list(rows)).sort_values("arrival").itertuples(index=False):
+            out.extend((key[0], int(r.arrival), *e) for e in detector.observe(r.venue, float(r.bid_price), float(r.ask_price), int(r.event_time_us)))
+        for venue, state in detector.quotes.items():
+            self.quotes.updateValue((venue,), state)
+        for pair, ring in detector.rings.items():
+            self.rings.updateValue(pair, (list(ring),))
+        yield pd.DataFrame(out, columns=["symbol", "arrival", "venue_a", "venue_b", "price_a", "price_b", "divergence_bps", "zscore", "window_start_us", "event_time_us"])
+
+    def close(self) -> None:
+        pass
+
+
+def divergence_stream(quotes: DataFrame, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
+    """Needs the RocksDB state store; quotes have symbol, venue, arrival, prices and event_time_us. Quotes without a price are passed over."""
+    schema = "symbol string, arrival bigint, venue_a string, venue_b string, price_a double, price_b double, divergence_bps double, zscore double, window_start_us bigint, event_time_us bigint"
+    cols = quotes.where("bid_price is not null and ask_price is not null and event_time_us is not null").select("symbol", "venue", "arrival", "bid_price", "ask_price", "event_time_us")
+    return cols.groupBy("symbol").transformWithStateInPandas(DivergenceProcessor(rules), schema, "Append", "None")
+
+
+def corrected_bars_stream(trades: DataFrame, path: str, checkpoint: str, window_us: int = WINDOW_US, cut_off_us: int = CUT_OFF_US) -> StreamingQuery:
+    """Bars that late trades correct: each batch's value counts are added to the state, and the state's bars are the result.
+
+    ``trades`` hold each message once (see ``once_stream``). A batch writes a new version of the state, named by its
+    number, from the version before; a repeated batch writes the same again. Trades past the cut-off change nothing.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        change = value_counts(rows, 1, window_us, cut_off_us)
+        state = merge_counts(change, rows.sparkSession.read.parquet(f"{path}/version={number - 1}")) if number else merge_counts(change)
+        state.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return trades.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def corrected_bars_at(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The bars of a version of the state."""
+    return bars_from_counts(spark.read.parquet(f"{path}/version={version}"))
+
+
 # --- sinks -----------------------------------------------------------------------------------------------------------
 
 
@@ -163,6 +220,15 @@ def _lake_job(source: DataFrame, config: Config, out: str) -> list[StreamingQuer
     return [to_lake(source.where(valid_trade()), config.lake_path or f"{out}/lake", f"{config.checkpoint_path}/lake")]
 
 
+def _divergence_job(source: DataFrame, config: Config, out: str) -> list[StreamingQuery]:
+    rules = DivergenceRules(config.max_quote_age_us, config.baseline_ring, config.baseline_warm, config.min_bps, config.min_zscore)
+    return [to_files(divergence_stream(source, rules), f"{out}/divergence", f"{config.checkpoint_path}/divergence")]
+
+
+def _late_job(source: DataFrame, config: Config, out: str) -> list[StreamingQuery]:
+    return [corrected_bars_stream(source, f"{out}/late-bars", f"{config.checkpoint_path}/late-bars")]
+
+
 def _latest_job(source: DataFrame, config: Config, out: str) -> list[StreamingQuery]:
     return [upsert_latest(source, f"{out}/latest", f"{config.checkpoint_path}/latest", ["event_time_us"])]
 
@@ -179,7 +245,7 @@ def _together_job(source: DataFrame, config: Config, out: str) -> list[Streaming
 
 
 JOBS: dict[str, Callable[[DataFrame, Config, str], list[StreamingQuery]]] = {
-    "trades": _trades_job, "book": _book_job, "lakehouse": _lake_job, "quotes": _latest_job, "backfill": _replay_job, "monolith": _together_job,
+    "trades": _trades_job, "book": _book_job, "divergence": _divergence_job, "late": _late_job, "lakehouse": _lake_job, "quotes": _latest_job, "backfill": _replay_job, "monolith": _together_job,
 }
 
 
