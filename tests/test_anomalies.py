@@ -41,7 +41,7 @@ def source(seed, n=400):
     return out, want
 
 
-@pytest.mark.parametrize("segment", [16_384, 60])
+@pytest.mark.parametrize("segment", [16_384, 60, 5])
 def test_planted_cases(spark, monkeypatch, segment):
     monkeypatch.setattr(anomalies, "SEGMENT", segment)
     q, want = source(3)

@@ -95,11 +95,14 @@ def _model(rows: DataFrame, rules: Rules) -> DataFrame:
         rows.join(big, "e").groupBy("e", "segments").agg(F.percentile_approx("t", grid, 10_000).alias("g"))
         .select("e", F.expr(f"array_distinct(transform(sequence(1, segments - 1), i -> g[cast(i * {SEGMENTS} div segments as int) - 1]))").alias("cuts"))
     )
-    cuts = spark.read.parquet(write_shared(cuts, "cuts"))
-    info = sources.join(cuts, "e", "left").select("e", "scale", "cuts")
+    cuts = spark.read.parquet(write_shared(cuts.withColumn("tops", F.expr("filter(cuts, (c, i) -> i % 32 = 31)")), "cuts"))
+    info = sources.join(cuts, "e", "left").select("e", "scale", "cuts", "tops")
+    # a row's segment is the number of cuts before it, found among every 32nd cut and then between two of those
+    top = "32 * size(filter(tops, c -> c < t))"
+    seg = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.expr(f"{top} + size(filter(slice(cuts, {top} + 1, 32), c -> c < t))"))
     placed = (
         rows.join(info, "e")
-        .withColumn("seg", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.expr("size(filter(cuts, c -> c < t))")))
+        .withColumn("seg", seg)
         .select("e", "seg", "t", "id", "v1", "v2", "crossed", "scale", F.lit(False).alias("halo"), F.col("cuts").isNotNull().alias("cut"))
     )
     core = placed.drop("cut")
