@@ -248,13 +248,31 @@ def snapshot_imbalance(spark, d):
 # --- sequences --------------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _fold_sql(source: str, keys: str, order: str, item: str, state: str, start: str, step: str, out: str) -> str:
+    """A fold in SQL: the rows of a key as a list, reduced to a state whose ``out`` grows by an element per row."""
+    return f"""{source}, k AS (SELECT {keys}, list({{{item}, {start}}} ORDER BY {order}) xs FROM src GROUP BY ALL),
+f AS (SELECT {keys}, list_reduce(list_prepend({{{state}, {start}}}, xs), lambda acc, x: {step}) r FROM k), o AS (SELECT {keys}, unnest(r.out) u FROM f) {out}"""
+
+
+def _sequence_sql(resync: bool, out: str) -> str:
+    gap = "NULL" if resync else "x.q"
+    source = f"""{_T}, src AS (SELECT venue, CASE WHEN venue IN ('norvex', 'altamar') THEN '' ELSE symbol END AS scope_symbol, CASE WHEN venue IN ('norvex', 'altamar') THEN 'connection' ELSE 'trades' END AS scope_channel,
+      arrival, sequence FROM c_trades WHERE symbol IS NOT NULL)"""
+    step = f"""{{a: x.a, q: x.q, last: CASE WHEN x.q < 0 THEN acc.last WHEN acc.last IS NULL OR x.q = acc.last + 1 THEN x.q WHEN x.q > acc.last + 1 THEN {gap} WHEN acc.last - x.q <= 1000 THEN acc.last ELSE {gap} END,
+      out: list_append(acc.out, {{a: x.a, q: x.q, s: CASE WHEN x.q < 0 THEN 'unsequenced' WHEN acc.last IS NULL THEN 'first' WHEN x.q = acc.last + 1 THEN 'ok' WHEN x.q > acc.last + 1 THEN 'gap'
+      WHEN acc.last - x.q <= 1000 THEN 'duplicate' ELSE 'regression' END, m: CASE WHEN x.q >= 0 AND x.q > acc.last + 1 THEN x.q - acc.last - 1 ELSE 0 END}})}}"""
+    start = "last: NULL::BIGINT, out: []::STRUCT(a BIGINT, q BIGINT, s VARCHAR, m BIGINT)[]"
+    return _fold_sql(source, "venue, scope_symbol, scope_channel", "arrival", "a: arrival, q: sequence", "a: 0::BIGINT, q: 0::BIGINT", start, step, out)
+
+
+@query(_sequence_sql(False, "SELECT venue, scope_symbol, scope_channel, u.a AS arrival, u.q AS sequence, u.s AS status, u.m AS missing FROM o"))
 def sequence_status(spark, d):
     t = _trades(spark, d).select("venue", "symbol", "arrival", "sequence").where("symbol is not null")
     return folds.sequence_status(folds.connection_scope(t, ["norvex", "altamar"], "trades"), ["venue", "scope_symbol", "scope_channel"], "arrival")
 
 
-@query()
+@query(_sequence_sql(True, """SELECT venue, scope_channel, count(*) AS received, count(*) FILTER (WHERE u.s <> 'duplicate') AS published, count(*) FILTER (WHERE u.s = 'duplicate') AS duplicates, count(*) FILTER (WHERE u.s = 'gap') AS gaps,
+  count(*) FILTER (WHERE u.s = 'regression') AS regressions, CAST(sum(u.m) AS BIGINT) AS missed, CAST(0 AS BIGINT) AS lost FROM o GROUP BY ALL"""))
 def sequence_stats(spark, d):
     """Counters of the pipeline, where a gap or regression makes the key unknown again."""
     t = _trades(spark, d).select("venue", "symbol", "arrival", "sequence").where("symbol is not null")
@@ -271,7 +289,13 @@ def sequence_running_max(spark, d):
     return r.groupBy("venue").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.col("sequence") - F.col("prior") - 1)), F.lit(0)).alias("missing"), F.count_if(F.col("sequence") <= F.col("prior")).alias("behind"))
 
 
-@query()
+@query(_fold_sql(
+    f"{_B}, src AS (SELECT session_id, venue, symbol, arrival, sequence u0, sequence + arrival % 3 u1 FROM c_book_deltas WHERE symbol IS NOT NULL AND sequence >= 0)", "session_id, venue, symbol", "arrival",
+    "a: arrival, u0: u0, u1: u1", "a: 0::BIGINT, u0: 0::BIGINT, u1: 0::BIGINT", "f: NULL::BIGINT, n: 0::BIGINT, out: []::STRUCT(a BIGINT, n BIGINT)[]",
+    """{a: x.a, u0: x.u0, u1: x.u1, f: CASE WHEN acc.f IS NULL OR x.u0 > acc.f THEN x.u1 ELSE greatest(acc.f, x.u1) END,
+      n: CASE WHEN acc.f IS NULL THEN 0 WHEN x.u0 = acc.f + 1 THEN acc.n + 1 WHEN x.u0 <= acc.f THEN acc.n ELSE acc.n + greatest(1, x.u0 - acc.f - 1) + 1 END,
+      out: list_append(acc.out, {a: x.a, n: CASE WHEN acc.f IS NULL THEN 0 WHEN x.u0 = acc.f + 1 THEN acc.n + 1 WHEN x.u0 <= acc.f THEN acc.n ELSE acc.n + greatest(1, x.u0 - acc.f - 1) + 1 END})}""",
+    "SELECT session_id, venue, symbol, u.a AS arrival, u.n AS dense FROM o"))
 def dense_sequences(spark, d):
     x = _deltas(spark, d).where("symbol is not null and sequence >= 0").select("session_id", "venue", "symbol", "arrival", F.col("sequence").alias("u0"), (F.col("sequence") + F.col("arrival") % 3).alias("u1"))
     return folds.dense_sequence(x, ["session_id", "venue", "symbol"], "arrival", "u0", "u1")
@@ -481,13 +505,21 @@ def _sign(secret: pd.Series, text: pd.Series) -> pd.Series:
     return (secret + "\x01" + text).map(lambda x: serving.sign(*x.split("\x01", 1)))
 
 
-@query()
+@query(_fold_sql(
+    "WITH src AS (SELECT user_id, event_id, epoch_us(ts) // 1000 // 1000 ms, CASE WHEN event_type = 'purchase' THEN 10.0 ELSE 1.0 END cost FROM events)", "user_id", "event_id", "a: event_id, ms: ms::BIGINT, c: cost::DOUBLE", "a: 0::BIGINT, ms: 0::BIGINT, c: 0::DOUBLE",
+    "t: NULL::BIGINT, k: 20::DOUBLE, out: []::STRUCT(a BIGINT, k DOUBLE, c DOUBLE)[]",
+    """{a: x.a, ms: x.ms, c: x.c, t: x.ms, k: CASE WHEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01) >= x.c THEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01) - x.c
+      ELSE least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01) END, out: list_append(acc.out, {a: x.a, k: least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01), c: x.c})}""",
+    """SELECT user_id, u.a AS event_id, u.k >= u.c AS allowed, CAST(floor(CASE WHEN u.k >= u.c THEN u.k - u.c ELSE u.k END) AS BIGINT) AS remaining, CAST(CASE WHEN u.k >= u.c THEN 0 ELSE ceil((u.c - u.k) / 0.01) END AS BIGINT) AS retry_after_s FROM o"""))
 def rate_limits(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000 div 1000").alias("ms"), F.when(F.col("event_type") == "purchase", 10.0).otherwise(1.0).alias("cost"))
     return folds.rate_limited(e, "user_id", ["event_id"], "ms", "cost", 20.0, 0.01)
 
 
-@query()
+@query(_fold_sql(
+    f"{_Q}, src AS (SELECT venue, emit_time_us, quote_id FROM c_quotes WHERE emit_time_us IS NOT NULL)", "venue", "emit_time_us, quote_id", "a: quote_id, e: emit_time_us", "a: 0::BIGINT, e: 0::BIGINT", "t: NULL::BIGINT, out: []::STRUCT(a BIGINT, e BIGINT)[]",
+    """{a: x.a, e: x.e, t: CASE WHEN x.e - acc.t < 100000 THEN acc.t ELSE x.e END, out: CASE WHEN x.e - acc.t < 100000 THEN acc.out ELSE list_append(acc.out, {a: x.a, e: x.e}) END}""",
+    "SELECT venue, u.e AS emit_time_us, u.a AS quote_id FROM o"))
 def coalesced_quotes(spark, d):
     """What a subscriber of all symbols of a venue gets at 10 quotes a second."""
     return folds.coalesced(_quotes(spark, d).where("emit_time_us is not null"), "venue", ["emit_time_us", "quote_id"], "emit_time_us", 10).drop("emit_us")
