@@ -214,7 +214,23 @@ def book_levels(spark, d):
     return folds.final_books(_deltas(spark, d), depth=1_000_000)
 
 
-@query()
+_LEVEL = "STRUCT(price DOUBLE, size DOUBLE)[]"
+
+
+def _patched(side: str, best: str) -> str:
+    """A side after a change, in SQL: its levels applied one by one, then the best 50."""
+    start = f"CASE WHEN x.sn THEN []::{_LEVEL} ELSE acc.{side} END"
+    step = "{price: l.price, size: l.size, s: CASE WHEN l.size > 0 THEN list_append(list_filter(b.s, lambda y: y.price <> l.price), {price: l.price, size: l.size}) ELSE list_filter(b.s, lambda y: y.price <> l.price) END}"
+    levels = f"list_transform(list_filter(coalesce(x.d_{side}, []), lambda l: l.price IS NOT NULL), lambda l: {{price: l.price, size: coalesce(l.size, 0), s: []::{_LEVEL}}})"
+    return f"list_reduce(list_prepend({{price: 0::DOUBLE, size: 0::DOUBLE, s: {start}}}, {levels}), lambda b, l: {step}).s".join(("list_sort(", f", '{best}')[1:50]"))
+
+
+@query(f"""{_B}, src AS (SELECT session_id, venue, symbol, arrival, coalesce(is_snapshot, false) sn, bids, asks FROM c_book_deltas WHERE {_VALID_DELTA}),
+k AS (SELECT session_id, venue, symbol, list({{sn: sn, d_bids: bids, d_asks: asks, bids: []::{_LEVEL}, asks: []::{_LEVEL}}} ORDER BY arrival) xs FROM src GROUP BY ALL),
+f AS (SELECT session_id, venue, symbol, list_reduce(list_prepend({{sn: false, d_bids: []::{_LEVEL}, d_asks: []::{_LEVEL}, bids: []::{_LEVEL}, asks: []::{_LEVEL}}}, xs),
+  lambda acc, x: {{sn: x.sn, d_bids: x.d_bids, d_asks: x.d_asks, bids: {_patched('bids', 'DESC')}, asks: {_patched('asks', 'ASC')}}}) r FROM k)
+SELECT session_id, venue, symbol, 'bid' AS side, unnest(r.bids).price AS price, unnest(r.bids).size AS size, unnest(range(1, len(r.bids) + 1)) AS level FROM f
+UNION ALL SELECT session_id, venue, symbol, 'ask', unnest(r.asks).price, unnest(r.asks).size, unnest(range(1, len(r.asks) + 1)) FROM f""")
 def book_levels_trimmed(spark, d):
     """The same with the best 50 levels kept after each change, which depends on the path."""
     return folds.final_books(_deltas(spark, d), depth=50)
