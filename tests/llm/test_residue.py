@@ -12,7 +12,7 @@ def strength(text):
 RESIDUE = [
     "A valve.\nABSTRACT\n[INSERT ABSTRACT HERE]", "Patent {{ doc.title }}", "The ${record.claims!} relates to a pump.", "x __BACKGROUND__ y", "<%= patent.summary %>", "%(claim_1)s", "@@CLAIM_1@@", "<<INVENTOR_LIST>>", "«inventor_list»",
     "[[field:title]]", "{claims:undefined}", "{% block title %}", "{{#if title}}{{/if}}", "$ABSTRACT$", "#summary#", "Patent {0}", "[HIER TITEL EINFÜGEN]", "[INSÉRER TITRE ICI]", "[INSERTAR TÍTULO AQUÍ]", "[TK: title]", "[to be completed: claims]", "[Your claims goes here]", "<insert title>",
-    "A pump.\nPlease enable JavaScript to read this page.", "Enable JS to continue.", "Enab1e JS t0 c0ntinue.", "En​able JS to continue.", "このページを表示するにはJavaScriptを有効にしてください。", "请启用JavaScript后再查看此页。", "Bitte schalten Sie JavaScript in Ihrem Browser ein.",
+    "A pump.\nPlease enable JavaScript to read this page.", "Enable JS to continue.", "Enab1e JS t0 c0ntinue.", "Error 404: no se encuentra la pÃ¡gina solicitada.", "Service momentanÃ©ment indisponible", "En​able JS to continue.", "このページを表示するにはJavaScriptを有効にしてください。", "请启用JavaScript后再查看此页。", "Bitte schalten Sie JavaScript in Ihrem Browser ein.",
     "404 Error\nThe address you asked for could not be served by this host.", "java.lang.IllegalStateException: renderer closed\n\tat com.example.Job.run(Job.java:74)", "Too many requests. Wait 5 seconds.", "Your session has ended for safety.", '{"status": 502, "error": "upstream timed out"}',
     "Lorem ipsum dolor sit amet", "Sample text Sample text Sample text", "sdfg hjkl asdf ghjk lkjh gfds", "Velum quares nunque errub velum solit minaret. Obtis lumen quares solit magnis ferat.", "xxxxxxxxxx", "______________", "................", "n/a n/an/a n/a",
 ]

@@ -85,6 +85,16 @@ _MASKS = (
 )
 
 
+_MISREAD = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]+")
+
+
+def _reread(found: re.Match) -> str:
+    try:
+        return found.group().encode("latin-1").decode()
+    except UnicodeDecodeError:
+        return found.group()
+
+
 def normalise(unit: str) -> str:
     """Addresses, dates, ids and numbers as #, one space for any, and digits within words as the letters they resemble."""
     for pattern, to in _MASKS:
@@ -127,6 +137,8 @@ def _automaton() -> ahocorasick.Automaton:
 
 def units(text: str, triggers: ahocorasick.Automaton) -> set[str]:
     """Normalised units (lines, and sentences of a line) of a whole text that could be residue by some rule."""
+    if not text.isascii():
+        text = _MISREAD.sub(_reread, text)  # UTF-8 that was once read as Latin-1
     low = text.lower()
     for c in _HIDDEN:
         if c in low:
