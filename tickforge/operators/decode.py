@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.canonical import canonical_pair
 from tickforge.functions.market import hex_to_decimal, hex_to_long, lenient_double, maker_side, ms_to_us, rfc3339_us, side, split_symbol, strict_double, topic_address
+from tickforge.operators.scans import running_max_before
 
 # The Transfer event of ERC-20 and the contracts that are watched.
 TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
@@ -135,11 +136,11 @@ def evm_transfers(frames: DataFrame, chain: str = "ethereum") -> DataFrame:
 def block_sequence(logs: DataFrame, order: str = "frame_id") -> DataFrame:
     """``sequence``: the block number on the first log, in order, of each block higher than all before it, else -1.
 
-    A block's first log is found per block; the running maximum then runs over one row per block, not over the logs.
+    A block's first log is found per block; the running maximum then runs over one row per block, in slices.
     """
     firsts = logs.groupBy("block_number").agg(F.min(order).alias("__first"))
-    before = F.max("block_number").over(Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1))
-    higher = firsts.withColumn("__before", before).where("__before is null or block_number > __before").select(F.col("__first"), F.col("block_number").alias("__block"))
+    scanned = running_max_before(firsts, [], "__first", "block_number", "__before")
+    higher = scanned.where("__before is null or block_number > __before").select("__first", F.col("block_number").alias("__block"))
     return logs.join(higher, F.col(order) == F.col("__first"), "left").withColumn("sequence", F.coalesce("__block", F.lit(-1))).drop("__first", "__block")
 
 
