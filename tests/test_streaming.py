@@ -106,3 +106,17 @@ def test_late_trades_correct_bars_up_to_the_cut_off(spark, rows, feed, tmp_path)
     done(jobs.run_job("late", feed(t, "late", 2), config, f"file://{tmp_path}/o"))
     at = lambda v: rows(jobs.corrected_bars_at(spark, f"file://{tmp_path}/o/late-bars", v), "low", "high", "median_price", "trade_count")
     assert at(0) == [(5.0, 7.0, 5.0, 2)] and at(1) == [(1.0, 7.0, 5.0, 3)]
+
+
+def test_recorded_frames_as_a_stream(spark, rows, tmp_path):
+    from tickforge.operators import decode
+    from tickforge.sources.replay import FrameReplay
+
+    frame = '{"channel":"trade","type":"update","data":[{"symbol":"BTC/USD","side":"buy","price":1.5,"qty":2,"trade_id":%d,"timestamp":"x"}]}'
+    (tmp_path / "frames").write_text("\n".join([*(frame % i for i in range(5)), "{broken", frame % 9]) + "\n")
+    spark.dataSource.register(FrameReplay)
+    source = spark.readStream.format("frame_replay").option("path", str(tmp_path / "frames")).option("frames", "3").option("start_us", "100").load()
+    q = decode.kraken_trades(source).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert rows(spark.table("replayed"), "sequence", "event_time_us") == [(0, 100), (1, 101), (2, 102), (3, 103), (4, 104), (9, 106)]
