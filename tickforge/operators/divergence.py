@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.market import divergence_bps, is_valid_quote, mid
 from tickforge.operators.scans import numbered, running_last, running_max_before, with_rows_before
+from tickforge.sources.shared import write_shared
 
 #: Observations of a pair that one task scores at once.
 BLOCK = 16_384
@@ -40,7 +41,9 @@ def pair_observations(quotes: DataFrame, venues: list[str], order: str, rules: D
     ``max_age_us`` older than the arriving one.
     """
     state = F.struct("event_time_us", mid("bid_price", "ask_price").alias("mid"), is_valid_quote("bid_price", "ask_price").alias("ok"))
-    needed = accepted_quotes(quotes.select("symbol", "venue", order, "event_time_us", "bid_price", "ask_price"), order)
+    # a scan reads its input twice, so each is written before the next: else the quotes would be read eight times
+    accepted = accepted_quotes(quotes.select("symbol", "venue", order, "event_time_us", "bid_price", "ask_price"), order)
+    needed = quotes.sparkSession.read.parquet(write_shared(accepted, "accepted"))
     newest = running_last(needed, ["symbol"], order, {f"v{i}": F.when(F.col("venue") == v, state) for i, v in enumerate(venues)})
     pairs = F.array(*[
         F.struct(F.lit(a).alias("venue_a"), F.lit(b).alias("venue_b"), F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b"))
@@ -75,7 +78,8 @@ def scored(observations: DataFrame, order: str, rules: DivergenceRules = Diverge
 
 def divergences(quotes: DataFrame, venues: list[str], order: str, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
     """Events where a warm baseline, the size and the z-score all say so."""
-    s = scored(pair_observations(quotes, venues, order, rules), order, rules)
+    observed = quotes.sparkSession.read.parquet(write_shared(pair_observations(quotes, venues, order, rules), "observed"))
+    s = scored(observed, order, rules)
     fire = (F.col("prior_n") >= rules.warm) & (F.abs("divergence_bps") >= rules.min_bps) & (F.abs("zscore") >= rules.min_zscore)
     return s.where(fire).drop("prior_n", "prior_mean", "prior_sd")
 
