@@ -294,20 +294,23 @@ class TokenBucket:
 
 
 def rate_limited(requests: DataFrame, key: str, order: list[str], now_ms: str, cost: str, capacity: float, refill: float) -> DataFrame:
-    """(key, order, allowed, remaining, retry_after_s) of every request of a key in order."""
+    """(key, order, allowed, remaining, retry_after_s) of every request of a key in order.
+
+    Requests without a time are passed over; a null cost is 1.
+    """
     kinds = dict(requests.dtypes)
 
     def start():
         bucket = TokenBucket(capacity, refill)
         return lambda r: [(getattr(r, key), *(getattr(r, o) for o in order), *bucket.take(int(r.now_ms), float(r.cost)))]
 
-    cols = requests.select(key, *order, F.col(now_ms).cast("bigint").alias("now_ms"), F.col(cost).cast("double").alias("cost"))
+    cols = requests.select(key, *order, F.col(now_ms).cast("bigint").alias("now_ms"), F.coalesce(F.col(cost).cast("double"), F.lit(1.0)).alias("cost")).where("now_ms is not null")
     schema = ", ".join([f"{key} {kinds[key]}", *(f"{o} {kinds[o]}" for o in order), "allowed boolean, remaining bigint, retry_after_s bigint"])
     return ordered_fold(cols, [key], order, start, schema)
 
 
 def coalesced(updates: DataFrame, stream: str, order: list[str], emit_us: str, hz: int = 10) -> DataFrame:
-    """Updates that a stream limited to ``hz`` delivers: one clock per stream, shared by its symbols."""
+    """Updates that a stream limited to ``hz`` delivers: one clock per stream, shared by its symbols; without a time, none."""
     kinds, gap = dict(updates.dtypes), 1_000_000 // min(max(1, hz), 100)
 
     def start():
@@ -321,5 +324,5 @@ def coalesced(updates: DataFrame, stream: str, order: list[str], emit_us: str, h
 
         return step
 
-    cols = updates.select(stream, *order, F.col(emit_us).cast("bigint").alias("emit_us"))
+    cols = updates.select(stream, *order, F.col(emit_us).cast("bigint").alias("emit_us")).where("emit_us is not null")
     return ordered_fold(cols, [stream], order, start, ", ".join([f"{stream} {kinds[stream]}", *(f"{o} {kinds[o]}" for o in order), "emit_us bigint"]))

@@ -518,7 +518,7 @@ def authentication(spark, d):
 
 @F.pandas_udf(T.StringType())
 def _sign(secret: pd.Series, text: pd.Series) -> pd.Series:
-    return (secret + "\x01" + text).map(lambda x: serving.sign(*x.split("\x01", 1)))
+    return (secret + "\x01" + text).map(lambda x: serving.sign(*x.split("\x01", 1)) if isinstance(x, str) else None)
 
 
 @query(_fold_sql(
