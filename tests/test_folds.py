@@ -99,3 +99,10 @@ def test_rate_limits_and_coalescing(spark, rows):
     assert [x[2] for x in rows(folds.rate_limited(req, "k", ["i"], "ms", "cost", 3, 1))] == [True, True, True, False, False, True]
     up = spark.createDataFrame([("s", i, i * 40_000) for i in range(6)], "s string, i bigint, us bigint")
     assert [x[1] for x in rows(folds.coalesced(up, "s", ["i"], "us", 10))] == [0, 3]
+
+
+def test_keys_may_be_null_and_numbers_large(spark, rows):
+    big = 2**62 + 1
+    req = spark.createDataFrame([(None, big + i, 0, 1.0) for i in range(3)] + [(big, 1, 0, None), (big, 2, None, 1.0)], "k bigint, i bigint, ms bigint, cost double")
+    got = rows(folds.rate_limited(req, "k", ["i"], "ms", "cost", 2, 1), "k", "i", "allowed")
+    assert got == [(None, big, True), (None, big + 1, True), (None, big + 2, False), (big, 1, True)]

@@ -7,11 +7,15 @@ key only: a key's rows are never gathered.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tickforge.functions.market import valid_delta
 
@@ -19,37 +23,31 @@ REGRESSION_TOLERANCE = 1_000
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable], schema: str) -> DataFrame:
-    """``start()`` makes the state of a key: a function from a row (namedtuple) to an iterable of result tuples."""
-    names = [x.split()[0] for x in _columns(schema)]
+    """``start()`` makes the state of a key: a function from a row (namedtuple) to an iterable of result tuples.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, step = None, None
-        for pdf in batches:
+    Nulls are None, whole numbers stay whole; null keys are a key of their own, text keys come out as ''. Structs are
+    dictionaries. An empty table gives an empty result.
+    """
+    result = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step, make = None, None, None
+        for batch in batches:
+            if make is None:
+                make = namedtuple("Row", batch.schema.names)._make
+                places = [batch.schema.names.index(k) for k in keys]
             out = []
-            for row in pdf.itertuples(index=False):
-                now = tuple(getattr(row, k) for k in keys)
+            for row in map(make, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                now = [row[p] for p in places]
                 if step is None or now != key:
                     key, step = now, start()
                 out.extend(step(row))
-            yield pd.DataFrame(out, columns=names)
-
-    filled = df
-    for k in keys:  # equal keys must compare equal in Python, and null isn't equal to itself there
-        if dict(df.dtypes)[k] == "string":
-            filled = filled.withColumn(k, F.coalesce(k, F.lit("")))
-    return filled.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
-def _columns(schema: str) -> list[str]:
-    out, depth, word = [], 0, ""
-    for c in schema + ",":
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(word.strip())
-            word = ""
-        else:
-            word += c
-    return out
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), result, strict=True)], schema=result)
+
+    kinds = dict(df.dtypes)
+    filled = df.withColumns({k: F.coalesce(k, F.lit("")) for k in keys if kinds[k] == "string"})
+    return filled.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 # --- sequences -----------------------------------------------------------------------------------------------------
@@ -289,8 +287,8 @@ class TokenBucket:
         self.at = now_ms
         if self.tokens >= cost:
             self.tokens -= cost
-            return True, int(self.tokens // 1), 0
-        return False, int(self.tokens // 1), -int(-(cost - self.tokens) // self.refill) if self.refill > 0 else 2**31
+            return True, int(self.tokens), 0
+        return False, int(self.tokens), ceil((cost - self.tokens) / self.refill) if self.refill > 0 else 2**31
 
 
 def rate_limited(requests: DataFrame, key: str, order: list[str], now_ms: str, cost: str, capacity: float, refill: float) -> DataFrame:

@@ -524,9 +524,9 @@ def _sign(secret: pd.Series, text: pd.Series) -> pd.Series:
 @query(_fold_sql(
     "WITH src AS (SELECT user_id, event_id, epoch_us(ts) // 1000 // 1000 ms, CASE WHEN event_type = 'purchase' THEN 10.0 ELSE 1.0 END cost FROM events)", "user_id", "event_id", "a: event_id, ms: ms::BIGINT, c: cost::DOUBLE", "a: 0::BIGINT, ms: 0::BIGINT, c: 0::DOUBLE",
     "t: NULL::BIGINT, k: 20::DOUBLE, out: []::STRUCT(a BIGINT, k DOUBLE, c DOUBLE)[]",
-    """{a: x.a, ms: x.ms, c: x.c, t: x.ms, k: CASE WHEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01) >= x.c THEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01) - x.c
-      ELSE least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01) END, out: list_append(acc.out, {a: x.a, k: least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1000.0 * 0.01), c: x.c})}""",
-    """SELECT user_id, u.a AS event_id, u.k >= u.c AS allowed, CAST(floor(CASE WHEN u.k >= u.c THEN u.k - u.c ELSE u.k END) AS BIGINT) AS remaining, CAST(CASE WHEN u.k >= u.c THEN 0 ELSE ceil((u.c - u.k) / 0.01) END AS BIGINT) AS retry_after_s FROM o"""))
+    """{a: x.a, ms: x.ms, c: x.c, t: x.ms, k: CASE WHEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2) >= x.c THEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2) - x.c
+      ELSE least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2) END, out: list_append(acc.out, {a: x.a, k: least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2), c: x.c})}""",
+    """SELECT user_id, u.a AS event_id, u.k >= u.c AS allowed, CAST(floor(CASE WHEN u.k >= u.c THEN u.k - u.c ELSE u.k END) AS BIGINT) AS remaining, CAST(CASE WHEN u.k >= u.c THEN 0 ELSE ceil((u.c - u.k) / 1e-2) END AS BIGINT) AS retry_after_s FROM o"""))
 def rate_limits(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000 div 1000").alias("ms"), F.when(F.col("event_type") == "purchase", 10.0).otherwise(1.0).alias("cost"))
     return folds.rate_limited(e, "user_id", ["event_id"], "ms", "cost", 20.0, 0.01)
