@@ -93,3 +93,40 @@ def test_exact_medians(spark):
     for key in ("a", "b", "c", "d", "e", None):
         values = [v for k, v, n in data if k == key and v is not None for _ in range(n)]
         assert got[key] == pytest.approx(np.median(values))
+
+
+def by_rule(values, least, factor, run=None):
+    """Positions at ``factor`` times the median size, and of runs of ``run`` equal values."""
+    size = np.abs(values) if run else np.array(values)
+    want = set(np.flatnonzero(size >= factor * np.median(size)))
+    for _, same in itertools.groupby(range(len(values)), lambda i: values[i]) if run else ():
+        same = list(same)
+        want |= set(same) if len(same) >= run else set()
+    return want if len(values) >= least and np.median(size) > 0 else set()
+
+
+@pytest.mark.parametrize("segment", [16_384, 25])
+def test_no_stuck_or_wide_reading_is_screened_out(spark, monkeypatch, segment):
+    monkeypatch.setattr(anomalies, "SEGMENT", segment)
+    r = random.Random(7)
+    pairs = {}
+    for name, n, runs, length in (("one", 40, 1, 5), ("two", 40, 2, 5), ("three", 40, 3, 6), ("sixty", 1_000, 60, 6), ("more", 1_600, 250, 6), ("four", 40, 5, 4)):
+        values, gap = [], (n - runs * length) // runs
+        for _ in range(runs):
+            values += [r.choice([-1, 1]) * r.uniform(8, 12) for _ in range(gap)] + [r.uniform(8, 12)] * length
+        pairs[name] = values + [r.uniform(8, 12) for _ in range(n - len(values))]
+    pairs["wide"] = [3.0] * 30 + [30.0] * 4 + [3.0] * 30 + [29.9] * 4
+    pairs["most are 0"] = [0.0, 0.1, 0.0, -0.1, 0.1, 0.2, 50.0, 60.0] * 10 + [0.3] * 5
+    pairs["low"] = [0.0, 0.5, -5.5, 0.0, 6.0] * 9 + [0.0, 0.5] * 2
+    spreads = {"often equal": [5.0] * 60 + [30.0] * 20 + [5.0] * 30 + [29.9] * 10, "two levels": [1.0] * 55 + [0.0] * 5 + [6.0, 7.0] * 25 + [5.9], "low": [0.0] * 40 + [0.5] * 25 + [4.0] * 40}  # of the last, the median is far below that of positive spreads
+    d = [(1_000 * k + i if len(v) <= 1_000 else 100_000 + i, name, "a", "b", x, 10 + i, True) for k, (name, v) in enumerate(pairs.items()) for i, x in enumerate(v)]
+    q = [(1_000 * k + i, "v", name, 1.0, 1.0, None, x, 10 + i, "", 0) for k, (name, v) in enumerate(spreads.items()) for i, x in enumerate(v)]
+    found = anomalies.implausible(spark.createDataFrame(q, Q), spark.createDataFrame(d, D)).collect()
+    got = {(x.source_table, x.record_id) for x in found}
+    ids = {("divergences", s, t): i for i, s, _, _, _, t, _ in d} | {("quotes", s, t): row[0] for row in q for s, t in [(row[2], row[7])]}
+    for table, sources, rule in (("divergences", pairs, (30, 10, 5)), ("quotes", spreads, (40, 6))):
+        for name, values in sources.items():
+            want = {ids[table, name, 10 + i] for i in by_rule(values, *rule)}
+            own = {ids[table, name, 10 + i] for i in range(len(values))}
+            assert {i for t, i in got if t == table and i in own} == want, name
+            assert want or name == "four"

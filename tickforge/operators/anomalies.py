@@ -20,6 +20,9 @@ NORMAL, SPIKE, STUCK, OUT = range(4)
 TRANSITION = np.array([[0.9875, 0.01, 0.0005, 0.002], [0.5, 0.497, 0.001, 0.002], [0.03, 0.002, 0.966, 0.002], [0.9, 0.05, 0.01, 0.04]])
 #: Posterior probability from which a reading is a candidate; the exact rules follow, so it is low.
 CANDIDATE = 0.02
+#: Share of a source's approximate median from which the thresholds of spreads and ratios are screened. Every reading that
+#: may reach its threshold is told, whatever the posterior; sources whose exact median is below the share are read again.
+SCREEN = 0.5
 #: Readings of a segment of a source; at most SEGMENTS per source, beyond that segments grow.
 SEGMENT, SEGMENTS = 16_384, 1_000
 #: Neighbouring readings that a segment sees beyond its ends, and the longest spike.
@@ -58,7 +61,8 @@ def implausible(quotes: DataFrame, divergences: DataFrame, rules: Rules = Rules(
     A source's readings are cut at approximate quantiles of time into segments of about ``SEGMENT`` readings, so a hot
     source is spread over tasks; a segment sees the ``HALO`` readings before and after it. In each segment the model's
     forward-backward probabilities (states: normal, spike, stuck, out of range) give the candidates; impossible readings
-    are fixed to the state out of range by the hard bounds. The exact rules then use the medians and run lengths of
+    are fixed to the state out of range by the hard bounds. Where a rule doesn't depend on the model (runs of equal ratios,
+    spreads and ratios at their thresholds), every such reading is a candidate. The exact rules then use the medians and run lengths of
     the whole source, put together from value counts and from the runs at the segments' ends.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -71,7 +75,8 @@ def implausible(quotes: DataFrame, divergences: DataFrame, rules: Rules = Rules(
         F.concat_ws("\x01", F.lit("d"), text("symbol"), *pair).alias("e"), F.col("event_time_us").alias("t"), F.col("divergence_id").alias("id"),
         F.col("divergence_bps").alias("v1"), F.lit(None).cast("double").alias("v2"), F.lit(False).alias("crossed"),
     )
-    found = _exact(_model(q.unionByName(d), rules), rules)
+    rows = q.unionByName(d)
+    found = _exact(rows, _model(rows, rules), rules)
     table = F.when(F.col("e").startswith("q"), F.lit("quotes")).otherwise(F.lit("divergences"))
     field = F.when(F.col("field") == RATIO, "divergence_bps").when(F.col("field") == SPREAD, "spread_bps").otherwise("mid")
     return found.select(table.alias("source_table"), F.col("id").alias("record_id"), field.alias("field_name"))
@@ -274,7 +279,8 @@ def _field(rows: pa.Table, column: str, kind: int, rules: Rules) -> Iterator[pa.
         at = ok[s0[pairs.index.get_level_values(0)]]
         yield emit(VALUE, at, a=pairs.index.get_level_values(1).to_numpy(), n=pairs.to_numpy())
     counted = np.bincount(gy[~h], minlength=len(s0))
-    yield emit(COUNT, ok[s0], n=counted)
+    screen = SCREEN * np.nan_to_num(usual[ok[s0]])  # without a usual size no reading is above 0
+    yield emit(COUNT, ok[s0], a=screen, n=counted)
 
     # how far a reading is from what is usual, in units of the source
     if kind == LEVEL:
@@ -308,8 +314,10 @@ def _field(rows: pa.Table, column: str, kind: int, rules: Rules) -> Iterator[pa.
         up, down = y[hit] - y[b[hit]], y[hit] - y[np.minimum(a[hit], len(y) - 1)]
         margin = np.where(np.sign(up) == np.sign(down), np.minimum(np.abs(up), np.abs(down)), 0.0)
     else:
+        size = np.abs(y) if kind == RATIO else y
+        spike |= (size > 0) & (size >= rules.jump[kind] * screen[gy])
         hit = np.flatnonzero(spike & ~h)
-        margin = np.abs(y[hit]) if kind == RATIO else y[hit]
+        margin = size[hit]
     if len(hit):
         yield emit(JUMP, ok[hit], id_=ids[ok[hit]], a=margin)
     if kind == SPREAD:
@@ -331,6 +339,8 @@ def _field(rows: pa.Table, column: str, kind: int, rules: Rules) -> Iterator[pa.
     np.logical_or.at(cut, gy, h)  # only segments of a divided source have neighbours
     part = np.where(cut[rg], np.where(is_first & is_last, WHOLE, np.where(is_first, FIRST, np.where(is_last, LAST, INNER))), INNER)
     tell = (part != INNER) | (chance >= CANDIDATE)
+    if kind == RATIO:
+        tell |= length >= rules.stuck_ratio_run
     rows_at, began = ok[own[r0]], t[ok[own[r0]]]
     k = np.flatnonzero(tell)
     if len(k):
@@ -356,12 +366,23 @@ def _stitch(runs: pd.DataFrame) -> pd.DataFrame:
     return runs.assign(n=runs.groupby(whole).n.transform("sum"), a=runs.groupby(whole).a.transform("max"))
 
 
-def _exact(judged: DataFrame, rules: Rules) -> DataFrame:
+def _unscreened(rows: DataFrame, weak: DataFrame, rules: Rules) -> DataFrame:
+    """Spreads and ratios at their thresholds, of the sources in ``weak`` (e, field, median), from all their readings."""
+    first = rows.join(weak, "e").groupBy("e", "t", "field", "median").agg(F.min(F.struct("id", "v1", "v2", "crossed")).alias("x"))
+    size = F.when(F.col("field") == RATIO, F.abs("x.v1")).otherwise(F.col("x.v2"))
+    least = F.when(F.col("field") == RATIO, rules.jump[RATIO]).otherwise(rules.jump[SPREAD]) * F.col("median")
+    return first.where((size <= rules.bound) & (size >= least)).select("e", "field", F.col("x.id").alias("id"))
+
+
+def _exact(rows: DataFrame, judged: DataFrame, rules: Rules) -> DataFrame:
     of = lambda kind: judged.where(F.col("kind") == kind)
     by_kind = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("field").cast("int") + 1)
-    counts = of(COUNT).groupBy("e", "field").agg(F.sum("n").alias("readings")).where(F.col("readings") >= by_kind(rules.least_readings))
+    counts = of(COUNT).groupBy("e", "field").agg(F.sum("n").alias("readings"), F.max("a").alias("screen")).where(F.col("readings") >= by_kind(rules.least_readings))
     medians = exact_medians(of(VALUE), ["e", "field"], "a", "n")
-    judges = counts.join(medians, ["e", "field"], "left")
+    shared = lambda df, name: rows.sparkSession.read.parquet(write_shared(df, name))
+    judges = shared(counts.join(medians, ["e", "field"], "left"), "judges")
+    weak = shared(judges.where((F.col("field") != LEVEL) & (F.col("median") > 0) & (F.col("median") < F.col("screen"))).select("e", "field", "median"), "weak")
+    counts = judges.select("e", "field")
 
     impossible = of(IMPOSSIBLE).select("e", "field", "id")
     jumps = of(JUMP).join(judges, ["e", "field"]).where((F.col("median") > 0) & (F.col("a") >= by_kind(rules.jump) * F.col("median"))).select("e", "field", "id")
@@ -370,7 +391,7 @@ def _exact(judged: DataFrame, rules: Rules) -> DataFrame:
     ends = of(RUN).where(F.col("id") != INNER)
     stitched = ends.groupBy("e").applyInPandas(_stitch, ends.schema)
     runs = of(RUN).where(F.col("id") == INNER).unionByName(stitched)
-    candidate = F.col("a") >= CANDIDATE
+    candidate = (F.col("a") >= CANDIDATE) | ((F.col("field") == RATIO) & (F.col("n") >= rules.stuck_ratio_run))
     ordinary = runs.groupBy("e", "field").agg(F.coalesce(F.max(F.when(~candidate, F.col("n"))), F.lit(1)).alias("usual"))
     held = runs.where(candidate).join(ordinary, ["e", "field"]).join(counts, ["e", "field"])
     factor = F.lit(rules.stuck_factor)
@@ -379,4 +400,4 @@ def _exact(judged: DataFrame, rules: Rules) -> DataFrame:
     stuck = F.when(F.col("field") == RATIO, F.col("n") >= rules.stuck_ratio_run).otherwise(F.col("n") >= factor * longest)
     verified = held.join(missed, ["e", "field"]).where(stuck).select("e", "field", "seg", "run")
     members = of(MEMBER).join(verified, ["e", "field", "seg", "run"], "left_semi").select("e", "field", "id")
-    return impossible.unionByName(jumps).unionByName(members).distinct()
+    return impossible.unionByName(jumps).unionByName(_unscreened(rows, weak, rules)).unionByName(members).distinct()
