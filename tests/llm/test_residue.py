@@ -1,6 +1,12 @@
+import itertools
+import re
+from re import _constants as C
+from re import _parser
+
 import pytest
 
-from tickforge.llm.residue import _automaton, find_residue, rule, units
+from tickforge.llm import residue
+from tickforge.llm.residue import _automaton, find_residue, normalise, rule, units
 
 A = _automaton()
 
@@ -48,3 +54,42 @@ def test_frames_of_pages_count_where_they_recur(spark, rows):
     df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
     assert len(rows(find_residue(df))) == 4
     assert rows(find_residue(df.where("source = 'a'"))) == []
+
+
+def examples(pattern):
+    """Strings of every alternative of a parsed pattern; anchors and looks around are left out."""
+    parts = []
+    for op, v in pattern:
+        if op is C.LITERAL:
+            parts.append([chr(v)])
+        elif op is C.IN and v[0][0] is not C.NEGATE and all(o is C.LITERAL for o, _ in v):
+            parts.append([chr(c) for _, c in v])
+        elif op is C.BRANCH:
+            parts.append([s for b in v[1] for s in examples(b)])
+        elif op is C.SUBPATTERN:
+            parts.append(examples(v[3]))
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            least, most, what = v
+            times = sorted({least, min(most, least + 1), min(most, least + 3)})
+            free = what[0][0] is C.ANY or (what[0][0] is C.IN and what[0][1][0][0] is C.NEGATE)
+            parts.append([(" a" * k)[:k] for k in times if k] + ["a", "aaa", " ", " a "] if free and most > 2 else [o * k for k in times for o in examples(what)])
+        elif op not in (C.AT, C.ASSERT, C.ASSERT_NOT):
+            parts.append(["a"])
+    return {"".join(x) for x in itertools.product(*parts)}
+
+
+@pytest.mark.parametrize("pattern", [*residue.FIELDS, *residue.MESSAGES, *residue.CHROME])
+def test_every_alternative_of_the_rules_is_reached(pattern):
+    texts = {t for x in examples(_parser.parse(pattern)) for t in (x, f"{x} b", f"A {x}", x.replace(" ", " \t")) for t in (t, t.replace("#", "5"))}
+    cases = {t for t in texts if re.search(pattern, normalise(t.lower())) and not re.search(r"[.!?]\s", t)}
+    assert cases
+    assert {t for t in cases if normalise(t.lower()) not in units(f"A valve is shown.\n{t}", A)} == set()
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["502 Bad Gateway", "504 Gateway Timeout", "400 Bad Request", "401 Unauthorized", "Please try again later.", "Access to this document is denied", "Please enable scripts", "Scripts are disabled in your browser", "Enable JS.",
+     "Réessayez plus tard", "Subheading", "[INSIRA TÍTULO AQUI]", "_ _ _ _ _ _", "Page  not\u2003found", "Wait. Try again later", "at Foo.bar(Foo.kt:12)", "Velum quares nunque errub velum solit minaret scripta."],
+)
+def test_residue_without_other_triggers(text):
+    assert strength(text) == strength(f"The pump is shown.\n{text}") == 2

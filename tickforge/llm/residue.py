@@ -17,20 +17,25 @@ from tickforge.sources.shared import write_shared
 RECURS_DOCS, RECURS_SOURCES = 3, 2
 
 # The rules' words and patterns.
-#: Strings without which a unit can't be a template field, a message or a demand (lower case).
+#: Strings without which a unit can't be a template field, a message or a demand (lower case, one space for any). Every
+#: alternative of FIELDS, MESSAGES and CHROME holds one; "\n" stands for the begin of a unit.
 TRIGGERS_WITH_SPACES = (
-    " js ", "active content", "not found", "no longer", "could not be", "cannot be", "moved or withdrawn", "search form", "sign in again", "too many requests",
+    "active content", "not found", "no longer", "could not be", "cannot be", "moved or withdrawn", "search form", "sign in again", "too many requests",
     "slowed down", "database connection", "did not answer", "not allowed from", "went wrong", "request id", "ocr job", "text layer", "loading viewer",
     "help desk", "nicht gefunden", "nicht verfügbar", "versuchen sie", "no se encuentra", "no disponible", "vuelva a", "at com.", "at java.", "at org.",
     "full-text viewer", "| search |", "goes here", "your own wording", "how the text will look", "final wording", "sample text", "dummy text", "test text", "example text", "upstream timed out",
-    "filler text", "placeholder text", "lorem ipsum", "texte de remplissage", "faux texte", "texto de relleno", "script support", "without scripts", "blocking scripts", "not a robot", "heading ", "not work without",
+    "filler text", "placeholder text", "lorem ipsum", "texte de remplissage", "faux texte", "texto de relleno", "not a robot", "heading ", "not work without",
+    "switch them on", "bad gateway", "gateway timeout", "bad request", "access to this", "try again", "quote reference", "melden sie sich", "_ _", " | ",
+    "\nat ", "\n at ", ". at ", "! at ", "? at ", "。at ", "！at ", "？at ", "。 at ", "！ at ", "？ at ",
 )
 TRIGGERS_WITHOUT = (
-    "{", "$", "%", "#", "__", "@@", "<<", "«", "[[", "[insert", "[hier", "[insér", "[tk", "[to be", "[your", "<insert", "【", "［", "javascript", "noscript", "scripting",
+    "{", "$", "%", "#", "__", "@@", "<<", "«", "[[", "[ins", "[hier", "[tk", "[to be", "[your", "<insert", "【", "［", "javascript", "noscript", "scripting",
     "cookies", "error", "fehler", "erreur", "エラー", "错误", "exception", "forbidden", "session", "sesión", "sitzung", "会话", "セッション", "robot",
     "unavailable", "incident", "anmelden", "introuvable", "expiré", "indisponible", "reconnecter", "caducado", "見つかりません", "不存在", "已过期", "不可用",
-    "利用できません", "bullet", "blindtext", "ダミーテキスト", "示例文本", "占位", "xxxxx", "_____", ".....", "n/a",
+    "利用できません", "bullet", "blindtext", "ダミーテキスト", "示例文本", "占位", "xxxxx", "_____", ".....", "n/a", "js", "activez", "unauthori", "<fault>", "réessayez", "subheading",
 )
+#: Triggers only where a word begins, as they are part of common words (description).
+TRIGGERS_OF_WORDS = ("script",)
 #: Template fields; a field's name is anything short without the bracket.
 FIELDS = (
     r"\$\{[^{}\n]{1,60}\}", r"(?<![\\a-z}])\{\{[^{}\n]{1,60}\}\}", r"<%[^%\n]{1,60}%>", r"\{%[^%\n]{1,60}%\}", r"%\([^()\s]{1,40}\)s", r"%[^\W\d][\w.#]{2,40}%",
@@ -76,6 +81,8 @@ _FIELD = re.compile("|".join(FIELDS))
 _MESSAGE = re.compile("|".join(MESSAGES))
 _CHROME = re.compile("|".join(CHROME))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_SPACE = re.compile(r"[^\S\n ]|  ")
+_SPACES = re.compile(r"[^\S\n]+")
 _HIDDEN = ("​", "‌", "‍", "­", "﻿")
 _MASKS = (
     (re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+"), "#"),
@@ -130,11 +137,20 @@ def rule(unit: str) -> int:
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word in (*TRIGGERS_WITHOUT, *TRIGGERS_WITH_SPACES):
-        found.add_word(word.replace("1", "l").replace("0", "o"), len(word))
+        found.add_word(word.replace("1", "l").replace("0", "o"), 0)
+    for word in TRIGGERS_OF_WORDS:
+        found.add_word(word, len(word))
     found.make_automaton()
     return found
 
 
+def _hits(triggers: ahocorasick.Automaton, folded: str) -> Iterator[int]:
+    """Where triggers end in a text that begins with a line break."""
+    for at, word in triggers.iter(folded):
+        if not (word and ((c := folded[at - word]).isalnum() or c == "_")):
+            yield at
+
+
 def units(text: str, triggers: ahocorasick.Automaton) -> set[str]:
     """Normalised units (lines, and sentences of a line) of a whole text that could be residue by some rule."""
     if not text.isascii():
@@ -143,12 +159,14 @@ def units(text: str, triggers: ahocorasick.Automaton) -> set[str]:
     for c in _HIDDEN:
         if c in low:
             low = low.replace(c, "")
-    low = low.replace("\xa0", " ").replace("\r", "\n")
+    low = "\n" + low.replace("\xa0", " ").replace("\r", "\n")
+    if _SPACE.search(low):
+        low = _SPACES.sub(" ", low)
     folded = low.replace("1", "l").replace("0", "o") if "0" in low or "1" in low else low
     out: set[str] = set()
     hit: set[int] = set()
     end = -1
-    for at, _ in triggers.iter(folded):
+    for at in _hits(triggers, folded):
         if at < end:
             continue
         start = low.rfind("\n", 0, at) + 1
@@ -156,12 +174,14 @@ def units(text: str, triggers: ahocorasick.Automaton) -> set[str]:
         end = len(low) if end < 0 else end
         hit.add(start)
         for s in _SENTENCE.split(low[start:end]):
-            if any(True for _ in triggers.iter(s.replace("1", "l").replace("0", "o"))):
+            if any(True for _ in _hits(triggers, "\n" + s.replace("1", "l").replace("0", "o"))):
                 out.add(normalise(s))
     start = 0
     for line in low.split("\n"):
-        if start not in hit and COMMON.isdisjoint(words := line.split()) and len(words) >= 5:
-            out.add(normalise(line))
+        if COMMON.isdisjoint(words := line.split()) and len(words) >= 5:
+            unit = normalise(line)
+            if start not in hit or is_filler(unit):
+                out.add(unit)
         start += len(line) + 1
     return {u for u in out if u}
 
