@@ -93,3 +93,11 @@ def test_every_alternative_of_the_rules_is_reached(pattern):
 )
 def test_residue_without_other_triggers(text):
     assert strength(text) == strength(f"The pump is shown.\n{text}") == 2
+
+
+def test_any_two_sources_are_two(spark):
+    names = [f"s{i}" for i in range(64)]  # some two of them have one hash modulo 63
+    hashed = spark.createDataFrame([(n,) for n in names], "s string").selectExpr("s", "pmod(xxhash64(s), 63) h").groupBy("h").agg({"s": "collect_list"}).collect()
+    one, other = next(x[1][:2] for x in hashed if len(x[1]) > 1)
+    data = [(i, "Full-text viewer\nA pump.", (one, other)[i % 2]) for i in range(4)]
+    assert len(find_residue(spark.createDataFrame(data, "doc_id bigint, text string, source string")).collect()) == 4

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tickforge.llm.bpe import blocks
 from tickforge.sources.shared import write_shared
 
-#: Documents and sources in which a message must recur for a weak rule to count.
-RECURS_DOCS, RECURS_SOURCES = 3, 2
+#: Documents in which a message must recur for a weak rule to count; their sources must be several.
+RECURS_DOCS = 3
 
 # The rules' words and patterns.
 #: Strings without which a unit can't be a template field, a message or a demand (lower case, one space for any). Every
@@ -193,7 +193,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     names of template fields too) and grouped by exact text across documents and sources; each distinct message is then
     classified once by placeholder and phrase rules. Rules sure of themselves hold at any frequency, as in a small corpus
     a message may occur once; weak ones (the frame of a page) need a message that recurs in ``RECURS_DOCS`` documents of
-    ``RECURS_SOURCES`` sources. A field or message that a sentence only speaks of (quoted, named as an example) is none.
+    several sources. A field or message that a sentence only speaks of (quoted, named as an example) is none.
 
     Null, empty and blank texts are no cases; null keys come out as a null key; a null source counts as one source.
     Grouping is combined on the map side, so a message in a third of all documents costs one row per map task.
@@ -217,15 +217,14 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for unit, n, sources in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for unit, n, several in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 strength = rule(unit)
-                keep.append(strength == 2 or (strength == 1 and n >= RECURS_DOCS and sources >= RECURS_SOURCES))
+                keep.append(strength == 2 or (strength == 1 and n >= RECURS_DOCS and several))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["unit"])
 
     read = docs.select(F.col(key), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text))
     found = read.select(key, "source", text).mapInArrow(search, f"key {kind}, source string, unit string")
     stored = docs.sparkSession.read.parquet(write_shared(found, "units"))
-    sources = F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(source), 63) as int)))").alias("s")
-    per_message = stored.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), sources)
-    messages = per_message.select("unit", "n", F.bit_count("s").alias("sources")).mapInArrow(classify, "unit string")
+    several = (F.min("source") != F.max("source")).alias("several")
+    messages = stored.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), several).mapInArrow(classify, "unit string")
     return stored.join(messages, "unit", "left_semi").select(F.col("key").alias(key)).distinct()
