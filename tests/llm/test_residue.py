@@ -6,13 +6,13 @@ from re import _parser
 import pytest
 
 from tickforge.llm import residue
-from tickforge.llm.residue import _automaton, find_residue, normalise, rule, units
+from tickforge.llm.residue import _automaton, find_residue, normalise, rule, units, weak_rule
 
 A = _automaton()
 
 
 def strength(text):
-    return max((rule(u) for u in units(text, A)), default=0)
+    return max((rule(u) if sure else weak_rule(u) for u, sure in units(text, A).items()), default=0)
 
 
 RESIDUE = [
@@ -27,7 +27,7 @@ CLEAN = [
     'In a known system the text "{{user}}" remains visible when the log sink receives no value.', 'The notice "please enable JavaScript" is shown by the cache only as long as the probe has not set its flag.', 'FIG. 3 shows an error page reading "access denied" as it is produced by the cache according to the state of the art.',
     "The timer tells the user that cookies have to be allowed, whereas the cache of the invention asks for nothing.", 'If the server answers with status 404 or 503, the cache shows the words "page not found" or "service unavailable" to the operator.',
     "Filler text, for example a meaningless pseudo-Latin passage, is put into the cache for a preview and is removed by the timer before printing.", r"\frac{{a_1}}{{b}} + \sum_{i=1}^{3} x_i", "[3.24; {0, 1}]", "[Formula 3]", "[Chemical formula 2: not reproduced]", "<math><mi>k</mi><mo>=</mo></math>",
-    "TBD (1,5,7-triazabicyclodecene) / DMF = 3:1", "- 8 -", "[0001] The valve seat is omitted.", "η = ???", "A device for detecting the script capability of a browser", "Robot gripper with compliant fingers and use thereof", "ZUSAMMENFASSUNG", "R¹–R⁴ = H, ��", "<|endoftext|>", "The rate is 5 % to 10 % of # 3.", "costs $5 to $9",
+    "##STR00027##", "as in ##STR1## above", "TBD (1,5,7-triazabicyclodecene) / DMF = 3:1", "- 8 -", "[0001] The valve seat is omitted.", "η = ???", "A device for detecting the script capability of a browser", "Robot gripper with compliant fingers and use thereof", "ZUSAMMENFASSUNG", "R¹–R⁴ = H, ��", "<|endoftext|>", "The rate is 5 % to 10 % of # 3.", "costs $5 to $9",
 ]
 
 
@@ -83,7 +83,7 @@ def test_every_alternative_of_the_rules_is_reached(pattern):
     texts = {t for x in examples(_parser.parse(pattern)) for t in (x, f"{x} b", f"A {x}", x.replace(" ", " \t")) for t in (t, t.replace("#", "5"))}
     cases = {t for t in texts if re.search(pattern, normalise(t.lower())) and not re.search(r"[.!?]\s", t)}
     assert cases
-    assert {t for t in cases if normalise(t.lower()) not in units(f"A valve is shown.\n{t}", A)} == set()
+    assert {t for t in cases if not units(f"A valve is shown.\n{t}", A).get(normalise(t.lower()))} == set()
 
 
 @pytest.mark.parametrize(
@@ -101,3 +101,25 @@ def test_any_two_sources_are_two(spark):
     one, other = next(x[1][:2] for x in hashed if len(x[1]) > 1)
     data = [(i, "Full-text viewer\nA pump.", (one, other)[i % 2]) for i in range(4)]
     assert len(find_residue(spark.createDataFrame(data, "doc_id bigint, text string, source string")).collect()) == 4
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Please refresh this window of your browser.", "Sign up for an account to go on reading.", "You have read 3 of 5 free documents.", "Contact the administrator of this site (ref. 88).", "Return to the list of publications.", "Type the draft of this paragraph.",
+     "Bitte laden Sie die Seite neu.", "Veuillez recharger la page.", "[~claims~]", "~~TITLE~~", "the {|abstract|} of a pump", "[@inventor name@] valve"],
+)
+def test_wording_of_no_list_counts_where_it_recurs(spark, rows, text):
+    assert strength(text) == 1
+    data = [(i, f"A pump.\n{text}\nThe valve no. {i} is shut.", "ab"[i % 2]) for i in range(4)] + [(9, "A pump.\nThe valve no. 9 is shut.", "a")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    assert rows(find_residue(df)) == [(i,) for i in range(4)]
+    assert rows(find_residue(df.where("doc_id in (0, 9)"))) == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["The server of claim 3 tells you its session.", "The notice \"please refresh the page\" is shown by the cache.", "A pump with two valves is shown.", "Such fields as {|title|} are known.", "ABSTRACT", "Press for sheets", "##STR00027##", "<math>", "Description", "[0001] The pump is shown."],
+)
+def test_sentences_of_patents_may_recur(spark, text):
+    data = [(i, f"A pump.\n{text}", "ab"[i % 2]) for i in range(6)]
+    assert find_residue(spark.createDataFrame(data, "doc_id bigint, text string, source string")).collect() == []

@@ -15,6 +15,8 @@ from tickforge.sources.shared import write_shared
 
 #: Documents in which a message must recur for a weak rule to count; their sources must be several.
 RECURS_DOCS = 3
+#: Characters of a message at most. Longer sentences aren't grouped; fields and messages within them are found by the sure rules.
+MESSAGE_CHARS = 240
 
 # The rules' words and patterns.
 #: Strings without which a unit can't be a template field, a message or a demand (lower case, one space for any). Every
@@ -38,10 +40,10 @@ TRIGGERS_WITHOUT = (
 TRIGGERS_OF_WORDS = ("script",)
 #: Template fields; a field's name is anything short without the bracket.
 FIELDS = (
-    r"\$\{[^{}\n]{1,60}\}", r"(?<![\\a-z}])\{\{[^{}\n]{1,60}\}\}", r"<%[^%\n]{1,60}%>", r"\{%[^%\n]{1,60}%\}", r"%\([^()\s]{1,40}\)s", r"%[^\W\d][\w.#]{2,40}%",
-    r"__[^\W\d_][\w#]{1,40}?__", r"@@[\w#]{2,40}@@", r"<<[\w #]{2,40}>>", r"«[^\W\d][\w#]{2,40}â?»", r"\$[^\W\d][\w#]{2,40}\$", r"#[^\W\d][\w#]{2,40}#", r"\[\[[^\[\]\n]{2,60}\]\]",
-    r"\[(?:insert\w*|hier|insér\w*|insir\w*)\b[^\[\]\n]{2,60}\]", r"\[tk\b[^\[\]\n]{0,60}\]", r"\[to be (?:completed|added|inserted|filled)[^\[\]\n]{0,60}\]",
-    r"\[your\b[^\[\]\n]{2,60}\]", r"<insert\b[^<>\n]{2,60}>", r"\{[\w. #]{2,40}:\s?undefined\}", r"(?<![\[;,] )(?<![\w^_}\\{\[;,])\{#\}(?![\w,;{}\]])",
+    r"\$\{[^{}\n]+\}", r"(?<![\\a-z}])\{\{[^{}\n]+\}\}", r"<%[^%\n]+%>", r"\{%[^%\n]+%\}", r"%\([^()\s]+\)s", r"%[^\W\d][\w.#]{2,}%",
+    r"__[^\W\d_][\w#]+?__", r"@@[\w#]{2,}@@", r"<<[\w #]{2,}>>", r"«[^\W\d][\w#]{2,}â?»", r"\$[^\W\d][\w#]{2,}\$", r"(?<!#)#[^\W\d][\w#]{2,}#(?!#)", r"\[\[[^\[\]\n]{2,}\]\]",
+    r"\[(?:insert\w*|hier|insér\w*|insir\w*)\b[^\[\]\n]{2,}\]", r"\[tk\b[^\[\]\n]*\]", r"\[to be (?:completed|added|inserted|filled)[^\[\]\n]*\]",
+    r"\[your\b[^\[\]\n]{2,}\]", r"<insert\b[^<>\n]{2,}>", r"\{[\w. #]{2,}:\s?undefined\}", r"(?<![\[;,] )(?<![\w^_}\\{\[;,])\{#\}(?![\w,;{}\]])",
 )
 #: Messages of failed pages, demands for scripts and filler, in units of lower case with numbers as #.
 MESSAGES = (
@@ -63,6 +65,21 @@ MESSAGES = (
 )
 #: Parts of a page around a message: residue only where they recur across sources.
 CHROME = (r"^full-text viewer$", r"^(?:\w+ \| ){2,}\w+$")
+#: Parts of a document that a field may stand for.
+SLOTS = (
+    "title", "titel", "titre", "título", "abstract", "zusammenfassung", "abrégé", "resumen", "description", "beschreibung", "descripción", "claims?", "ansprüche", "revendications", "reivindicaciones", "summary", "background",
+    "drawings?", "figures?", "applicant", "anmelder", "demandeur", "solicitante", "inventors?", "erfinder", "inventeur", "assignee", "author", "name", "date", "datum", "number", "body", "content", "heading", "text", "field", "ipc",
+)
+#: A message speaks to its reader, or tells the reader to do something ...
+ADDRESS = (
+    r"\b(?:you|your|please|sorry|we are|our (?:side|team|end|site))\b", r"^(?:re-?load|refresh|click|tap|sign (?:in|up)|log ?(?:in|on)|contact|try|wait|go back|return to|come back|visit|register|subscribe|replace|put|fill in|type|enter|update|upgrade|install|write|edit|delete)\b",
+    r"\b(?:bitte|ihre[mnrs]?|veuillez|votre|vos|por favor|inténtelo|vuelva)\b", r"(?:して|て)ください", r"[请您]",
+)
+#: ... and it is about pages, their delivery, or text still to be written.
+PAGE = (
+    r"\b(?:pages?|(?:web)?sites?|browsers?|servers?|sessions?|log-?in|sign in|viewers?|network|passwords?|accounts?|links?|windows?|tabs?|cookies?|scripts?|javascript|documents?|publications?|full text|pdf|downloads?|help ?desk|support|administrators?|service|connection|proxy|requests?)\b",
+    r"\b(?:template|placeholder|paragraph|passage|wording|sample|dummy|draft|editor|final text)\b", r"\b(?:seiten?|dokument|sitzung|browser|anmeld\w+|navigateur|document|connexion|página|documento|sesión|navegador|servicio)\b", r"ページ|文書|ブラウザ|页面|网页|浏览器|文档|会话",
+)
 #: Words before a field or a message that is only spoken of.
 MENTION = re.compile(r"(?:\b(?:such as|string|text|words?|markers?|notice|message|reading|symbol|token|label)\s*(?:&quot;|[\"'“„`])?|(?:&quot;|[\"“„])[^\"”]{0,40})$")
 #: Sentences about messages, not messages.
@@ -80,9 +97,17 @@ HOME_ROW = re.compile(r"^[asdfghjkl]+$")
 _FIELD = re.compile("|".join(FIELDS))
 _MESSAGE = re.compile("|".join(MESSAGES))
 _CHROME = re.compile("|".join(CHROME))
+_ADDRESS, _PAGE = re.compile("|".join(ADDRESS)), re.compile("|".join(PAGE))
+_MARK = r"[^\w\s.,;:'\"()/+=*-]{1,3}"
+#: A part's name, or two words with one, between marks of any kind; what the marks are is told by group 1 and 2.
+_SLOT = re.compile(rf"(?<!\w)({_MARK}) ?(?:\w+[._ :])?(?:{'|'.join(SLOTS)})(?:[._ ]\w+)? ?({_MARK})(?!\w)")
+_NUMBER = re.compile(r"\d(?<![^\W\d_]\d)\d*(?:[.,:/-]\d+)*(?![^\W\d_])")
+_ENDS = (". ", "! ", "? ", "。", "！", "？")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _SPACE = re.compile(r"[^\S\n ]|  ")
 _SPACES = re.compile(r"[^\S\n]+")
+#: Begin of the units that stand for a kind of field.
+SLOT = "field of marks "
 _HIDDEN = ("​", "‌", "‍", "­", "﻿")
 _MASKS = (
     (re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+"), "#"),
@@ -121,17 +146,31 @@ def is_filler(unit: str) -> bool:
     return len(words) >= 8 and all(map(str.isascii, words)) and sum(bool(LATINATE.match(w)) for w in words) >= 0.9 * len(words) and len(set(words)) < len(words)
 
 
+def spoken_of(unit: str, at: int) -> bool:
+    """Whether what begins at ``at`` is quoted or named as an example, not used."""
+    before = unit[:at]
+    return bool(MENTION.search(before) or re.search(r"\bsuch as \S.{0,80} or $", before))
+
+
 def rule(unit: str) -> int:
     """2: residue by itself; 1: residue where it recurs across sources; 0: none. ``unit`` is normalised."""
-    for m in _FIELD.finditer(unit):
-        before = unit[: m.start()]
-        if not (MENTION.search(before) or re.search(r"\bsuch as \S.{0,80} or $", before)):
-            return 2
-    if not ABOUT.search(unit) and any(not MENTION.search(unit[: m.start()]) for m in _MESSAGE.finditer(unit)):
+    if any(not spoken_of(unit, m.start()) for m in _FIELD.finditer(unit)):
         return 2
-    if is_filler(unit):
+    if not ABOUT.search(unit) and any(not MENTION.search(unit[: m.start()]) for m in _MESSAGE.finditer(unit)):
         return 2
-    return 1 if _CHROME.search(unit) else 0
+    return 2 if is_filler(unit) else weak_rule(unit)
+
+
+def weak_rule(unit: str) -> int:
+    """1: residue where it recurs across sources (a kind of field, a page's frame, a notice to the reader); 0: none."""
+    return int(unit.startswith(SLOT) or bool(_CHROME.search(unit)) or is_notice(unit))
+
+
+def is_notice(unit: str) -> bool:
+    """A sentence to the reader of a page, as no patent has one."""
+    if ABOUT.search(unit) or not _PAGE.search(unit):
+        return False
+    return any(not MENTION.search(unit[: m.start()]) for m in _ADDRESS.finditer(unit))
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -151,19 +190,27 @@ def _hits(triggers: ahocorasick.Automaton, folded: str) -> Iterator[int]:
             yield at
 
 
-def units(text: str, triggers: ahocorasick.Automaton) -> set[str]:
-    """Normalised units (lines, and sentences of a line) of a whole text that could be residue by some rule."""
+def plain(text: str) -> str:
+    """Lower case, without hidden characters, single spaces, and UTF-8 that was once read as Latin-1 read again."""
     if not text.isascii():
-        text = _MISREAD.sub(_reread, text)  # UTF-8 that was once read as Latin-1
+        text = _MISREAD.sub(_reread, text)
     low = text.lower()
     for c in _HIDDEN:
         if c in low:
             low = low.replace(c, "")
-    low = "\n" + low.replace("\xa0", " ").replace("\r", "\n")
-    if _SPACE.search(low):
-        low = _SPACES.sub(" ", low)
+    low = low.replace("\xa0", " ").replace("\r", "\n")
+    return _SPACES.sub(" ", low) if _SPACE.search(low) else low
+
+
+def units(text: str, triggers: ahocorasick.Automaton) -> dict[str, bool]:
+    """Normalised units (lines, and sentences of a line) of a whole text; True for those the sure rules may hold for.
+
+    A named part between marks of any kind yields a unit of its own without the name, so that a kind of field recurs
+    whatever it stands for.
+    """
+    low = "\n" + plain(text)
     folded = low.replace("1", "l").replace("0", "o") if "0" in low or "1" in low else low
-    out: set[str] = set()
+    sure: set[str] = set()
     hit: set[int] = set()
     end = -1
     for at in _hits(triggers, folded):
@@ -175,28 +222,39 @@ def units(text: str, triggers: ahocorasick.Automaton) -> set[str]:
         hit.add(start)
         for s in _SENTENCE.split(low[start:end]):
             if any(True for _ in _hits(triggers, "\n" + s.replace("1", "l").replace("0", "o"))):
-                out.add(normalise(s))
+                sure.add(normalise(s))
     start = 0
     for line in low.split("\n"):
         if COMMON.isdisjoint(words := line.split()) and len(words) >= 5:
             unit = normalise(line)
             if start not in hit or is_filler(unit):
-                out.add(unit)
+                sure.add(unit)
         start += len(line) + 1
-    return {u for u in out if u}
+    masked = _NUMBER.sub("#", low)
+    for end in _ENDS:
+        masked = masked.replace(end, "\n")
+    out = dict.fromkeys((u for s in masked.split("\n") if (u := s.strip()) and len(u) <= MESSAGE_CHARS), False)
+    for m in _SLOT.finditer(low):
+        if not spoken_of(low[low.rfind("\n", 0, m.start()) + 1 : m.start()], m.start()):
+            out[f"{SLOT}{m[1]} {m[2]}"] = False
+    out.update((u, True) for u in sure if u)
+    return out
 
 
 def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(``key``): documents with residue anywhere in the text, one row per distinct key.
 
-    Whole texts are searched. Units that could be residue are normalised (addresses, dates, ids and numbers masked, the
-    names of template fields too) and grouped by exact text across documents and sources; each distinct message is then
-    classified once by placeholder and phrase rules. Rules sure of themselves hold at any frequency, as in a small corpus
-    a message may occur once; weak ones (the frame of a page) need a message that recurs in ``RECURS_DOCS`` documents of
-    several sources. A field or message that a sentence only speaks of (quoted, named as an example) is none.
+    Whole texts are cut into sentences. Numbers, addresses and dates are masked, and all units are grouped by the hash of
+    what is left, across documents and sources. Each distinct message that recurs in ``RECURS_DOCS`` documents of several
+    sources is then classified once by placeholder and phrase rules: a kind of field (marks around the name of a part),
+    the frame of a page, or a notice to the reader about pages, browsers, sessions, drafts. What is unmistakable by itself
+    (a known field syntax, a known message of a failed page, filler) counts at any frequency, as a small corpus has each
+    message but once. A field or message that a sentence only speaks of (quoted, named as an example) is none, nor are
+    marks for lost formulas.
 
     Null, empty and blank texts are no cases; null keys come out as a null key; a null source counts as one source.
-    Grouping is combined on the map side, so a message in a third of all documents costs one row per map task.
+    Grouping is combined on the map side, so a message in a third of all documents costs one row per map task. Hashes
+    have 64 bits.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -204,27 +262,26 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
         triggers = _automaton()
         for batch in batches:
             for rows, texts in blocks(batch, text):
-                at, found = [], []
+                at, found, sure = [], [], []
                 for i, t in enumerate(texts):
                     if t:
-                        for u in units(t, triggers):
-                            at.append(i)
-                            found.append(u)
+                        of = units(t, triggers)
+                        at.extend([i] * len(of))
+                        found.extend(of)
+                        sure.extend(of.values())
                 if at:
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(found)], names=["key", "source", "unit"])
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(found), pa.array(sure)], names=["key", "source", "unit", "sure"])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for unit, n, several in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                strength = rule(unit)
-                keep.append(strength == 2 or (strength == 1 and n >= RECURS_DOCS and several))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["unit"])
+            keep = [(rule(unit) if sure else weak_rule(unit)) + recurs > 1 for unit, sure, recurs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["hash"])
 
     read = docs.select(F.col(key), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text))
-    found = read.select(key, "source", text).mapInArrow(search, f"key {kind}, source string, unit string")
+    found = read.select(key, "source", text).mapInArrow(search, f"key {kind}, source string, unit string, sure boolean").withColumn("hash", F.xxhash64("unit"))
     stored = docs.sparkSession.read.parquet(write_shared(found, "units"))
-    several = (F.min("source") != F.max("source")).alias("several")
-    messages = stored.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), several).mapInArrow(classify, "unit string")
-    return stored.join(messages, "unit", "left_semi").select(F.col("key").alias(key)).distinct()
+    recurs = (F.count(F.lit(1)) >= RECURS_DOCS) & (F.min("source") != F.max("source"))
+    groups = stored.groupBy("hash").agg(F.any_value("unit").alias("unit"), F.max("sure").alias("sure"), recurs.alias("recurs")).where("sure or recurs")
+    messages = groups.mapInArrow(classify, "hash bigint")
+    return stored.join(messages, "hash", "left_semi").select(F.col("key").alias(key)).distinct()
