@@ -81,7 +81,7 @@ PAGE = (
     r"\b(?:template|placeholder|paragraph|passage|wording|sample|dummy|draft|editor|final text)\b", r"\b(?:seiten?|dokument|sitzung|browser|anmeld\w+|navigateur|document|connexion|página|documento|sesión|navegador|servicio)\b", r"ページ|文書|ブラウザ|页面|网页|浏览器|文档|会话",
 )
 #: Words before a field or a message that is only spoken of.
-MENTION = re.compile(r"(?:\b(?:such as|string|text|words?|markers?|notice|message|reading|symbol|token|label)\s*(?:&quot;|[\"'“„`])?|(?:&quot;|[\"“„])[^\"”]{0,40})$")
+MENTION = re.compile(r"(?:\b(?:such (?:\w+ )?as|string|text|words?|markers?|notice|message|reading|symbol|token|label)\s*(?:&quot;|[\"'“„`])?|(?:&quot;|[\"“„])[^\"”]{0,40})$")
 #: Sentences about messages, not messages.
 ABOUT = re.compile(r"\b(?:shown|depicted|displayed|produced) by\b|\bshows (?:\w+ ){0,2}(?:words|error page|message)\b|\btells (?:\w+ ){0,3}user\b|\bstate of (?:\w+ ){1,2}art\b|\b(?:is|becomes) put into\b|\b(?:the|tbe) invention\b|\bclaims? #")
 #: The commonest words of the corpus' languages; running text has some, filler and struck keys have none.
@@ -100,10 +100,9 @@ _CHROME = re.compile("|".join(CHROME))
 _ADDRESS, _PAGE = re.compile("|".join(ADDRESS)), re.compile("|".join(PAGE))
 _MARK = r"[^\w\s.,;:'\"()/+=*-]{1,3}"
 #: A part's name, or two words with one, between marks of any kind; what the marks are is told by group 1 and 2.
-_SLOT = re.compile(rf"(?<!\w)({_MARK}) ?(?:\w+[._ :])?(?:{'|'.join(SLOTS)})(?:[._ ]\w+)? ?({_MARK})(?!\w)")
+_SLOT = re.compile(rf"({_MARK}) ?(?:\w+[._ :])?(?:{'|'.join(SLOTS)})(?:[._ ]\w+)? ?({_MARK})(?!\w)")
 _NUMBER = re.compile(r"\d(?<![^\W\d_]\d)\d*(?:[.,:/-]\d+)*(?![^\W\d_])")
-_ENDS = (". ", "! ", "? ", "。", "！", "？")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_ENDS = ((". ", ".\n"), ("! ", "!\n"), ("? ", "?\n"), ("。", "。\n"), ("！", "！\n"), ("？", "？\n"))
 _SPACE = re.compile(r"[^\S\n ]|  ")
 _SPACES = re.compile(r"[^\S\n]+")
 #: Begin of the units that stand for a kind of field.
@@ -202,6 +201,13 @@ def plain(text: str) -> str:
     return _SPACES.sub(" ", low) if _SPACE.search(low) else low
 
 
+def sentences(text: str) -> str:
+    """A line break after each sentence."""
+    for end, cut in _ENDS:
+        text = text.replace(end, cut)
+    return text
+
+
 def units(text: str, triggers: ahocorasick.Automaton) -> dict[str, bool]:
     """Normalised units (lines, and sentences of a line) of a whole text; True for those the sure rules may hold for.
 
@@ -220,7 +226,7 @@ def units(text: str, triggers: ahocorasick.Automaton) -> dict[str, bool]:
         end = low.find("\n", at)
         end = len(low) if end < 0 else end
         hit.add(start)
-        for s in _SENTENCE.split(low[start:end]):
+        for s in sentences(low[start:end]).split("\n"):
             if any(True for _ in _hits(triggers, "\n" + s.replace("1", "l").replace("0", "o"))):
                 sure.add(normalise(s))
     start = 0
@@ -230,12 +236,9 @@ def units(text: str, triggers: ahocorasick.Automaton) -> dict[str, bool]:
             if start not in hit or is_filler(unit):
                 sure.add(unit)
         start += len(line) + 1
-    masked = _NUMBER.sub("#", low)
-    for end in _ENDS:
-        masked = masked.replace(end, "\n")
-    out = dict.fromkeys((u for s in masked.split("\n") if (u := s.strip()) and len(u) <= MESSAGE_CHARS), False)
+    out = dict.fromkeys((u for s in sentences(_NUMBER.sub("#", low)).split("\n") if (u := s.strip()) and len(u) <= MESSAGE_CHARS), False)
     for m in _SLOT.finditer(low):
-        if not spoken_of(low[low.rfind("\n", 0, m.start()) + 1 : m.start()], m.start()):
+        if not low[m.start() - 1].isalnum() and not spoken_of(low[low.rfind("\n", 0, m.start()) + 1 : m.start()], m.start()):
             out[f"{SLOT}{m[1]} {m[2]}"] = False
     out.update((u, True) for u in sure if u)
     return out
