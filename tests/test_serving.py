@@ -48,10 +48,26 @@ def test_requests(spark, rows):
     r = spark.createDataFrame(
         [(1, "k", "n", 100, 100, "GET", "/x", None, good), (2, "k", "n", 100, 100, "GET", "/x", "", good), (3, "k", "n", 100, 131, "GET", "/x", None, good), (4, "k", "n", 100, 100, "GET", "/y", None, good), (5, "z", "n", 100, 100, "GET", "/x", None, good), (6, "off", "n", 100, 100, "GET", "/x", None, good), (7, None, "n", 100, 100, "GET", "/x", None, None)],
         "i bigint, key_id string, nonce string, timestamp_s bigint, now_s bigint, method string, path string, body string, signature string")
-    keys = spark.createDataFrame([("k", "s", True), ("off", "s", False)], "key_id string, secret string, enabled boolean")
+    keys = spark.createDataFrame([("k", "s", True, 9, 1.0), ("off", "s", False, 9, 1.0)], "key_id string, secret string, enabled boolean, rate_limit_capacity int, rate_limit_refill_per_second double")
     assert [x[1] for x in rows(serving.authenticated(r, keys, "i"), "i", "verdict")] == ["OK", "NONCE_REUSED", "TIMESTAMP_OUT_OF_WINDOW", "BAD_SIGNATURE", "UNKNOWN_KEY", "DISABLED_KEY", "MISSING_CREDENTIALS"]
 
 
+def test_a_nonce_is_free_again_after_its_lifetime(spark, rows):
+    r = spark.createDataFrame([(i, "k", "n", t, t) for i, t in enumerate([1000, 1059, 1060, 1061, 5000])] + [(9, "z", "n", 1059, 1059), (8, "z", "n", 1000, 1031), (7, None, "n", 5, None)], "i bigint, key_id string, nonce string, timestamp_s bigint, now_s bigint")
+    assert rows(serving.replay_verdicts(r, "i"), "i", "verdict") == [(0, "OK"), (1, "NONCE_REUSED"), (2, "OK"), (3, "NONCE_REUSED"), (4, "OK"), (7, "TIMESTAMP_OUT_OF_WINDOW"), (8, "TIMESTAMP_OUT_OF_WINDOW"), (9, "OK")]
+
+
+def test_rate_comes_last(spark, rows):
+    from tickforge.functions.market import canonical_request
+
+    r = spark.createDataFrame([(i, "k", f"n{max(i, 1)}", 100 + i // 3, 100 + i // 3, "GET", "/x", None) for i in range(6)], "i bigint, key_id string, nonce string, timestamp_s bigint, now_s bigint, method string, path string, body string")
+    texts = {x.i: x.t for x in r.select("i", canonical_request("method", "path", "timestamp_s", "nonce", "body").alias("t")).collect()}
+    signed = spark.createDataFrame([(*x, serving.sign("s", texts[x.i])) for x in r.collect()], f"{', '.join(f'{c} {t}' for c, t in r.dtypes)}, signature string")
+    keys = spark.createDataFrame([("k", "s", True, 2, 1.0)], "key_id string, secret string, enabled boolean, rate_limit_capacity int, rate_limit_refill_per_second double")
+    got = [x[1] for x in rows(serving.authenticated(signed, keys, "i"), "i", "verdict")]
+    assert got == ["OK", "NONCE_REUSED", "OK", "OK", "RATE_LIMITED", "RATE_LIMITED"]
+
+
 def test_metrics(spark, rows):
     df = spark.createDataFrame([("a", i * 1_000_000, i / 100) for i in range(100)] + [("a", 500_000_000, None)], "v string, t bigint, lag double")
     assert rows(metrics.event_rate(df.where("t < 60000000"), "t", 60, "v"), "n", "per_second") == [(60, 1.0)]

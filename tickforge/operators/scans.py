@@ -56,6 +56,25 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, width: int =
     return _carry(cut, sums, keys, ["__before"]).withColumn(name, F.row_number().over(local) - 1 + F.col("__before")).drop("__slice", "__before")
 
 
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
+    """``df`` with the sum of ``value`` of its key's rows up to and including it in ``order`` (unique); without ``value``."""
+    cut = _sliced(df, order, width)
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "__slice").agg(F.sum(value).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    local = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return _carry(cut, sums, keys, ["__before"]).withColumn(name, F.coalesce(F.sum(value).over(local), F.lit(0)) + F.col("__before")).drop("__slice", "__before", value)
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, width: int = WIDTH) -> DataFrame:
+    """``df`` with the last non-null ``value`` of its key's rows before it in ``order`` (unique; the first is an integer and sliced)."""
+    cut = _sliced(df, order[0], width)
+    newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__c")
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "__slice").agg(newest).withColumn("__b", F.last("__c", ignorenulls=True).over(earlier))
+    local = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return _carry(cut, sums, keys, ["__b"]).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(local), F.col("__b"))).drop("__slice", "__b")
+
+
 def with_rows_before(df: DataFrame, number: str, rows: int, block: int) -> DataFrame:
     """Each row in its block of ``block`` numbers, and again, with ``is_halo``, in the next block if it is among the ``rows`` before that.
 

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tickforge.functions.market import canonical_request, is_valid_quote
+from tickforge.operators.folds import paced, rate_limited
+from tickforge.sources.shared import write_shared
 
 DEFAULT_LIMIT, MAX_LIMIT, MAX_SYMBOLS, DEFAULT_HZ, MAX_HZ = 1_000, 50_000, 64, 10, 100
 BARS_TTL_DAYS, DIVERGENCE_TTL_DAYS, QUOTE_TTL_S, SKEW_S = 7, 90, 300, 30
-DAY_US = 86_400_000_000
+DAY_S, DAY_US = 86_400, 86_400_000_000
 
 
 def checked_limit(limit: int | None) -> int:
@@ -123,29 +125,37 @@ def _matches(joined: object) -> bool:
 
 
 def replay_verdicts(requests: DataFrame, order: str, skew_s: int = SKEW_S) -> DataFrame:
-    """TIMESTAMP_OUT_OF_WINDOW beyond the skew (the nonce isn't used up), else OK for a nonce's first sight per key.
+    """TIMESTAMP_OUT_OF_WINDOW beyond the skew (the nonce isn't used up), else OK where the nonce is free, else NONCE_REUSED.
 
-    First sights are an aggregate by (key, nonce), joined back, so a key with most requests stays spread.
+    A nonce is claimed per key, in order of now_s and ``order`` (a unique integer), for twice the skew; then it's free again.
     """
     fresh = F.abs(F.col("now_s") - F.col("timestamp_s")) <= skew_s
-    first = requests.where(fresh).groupBy("key_id", "nonce").agg(F.min(order).alias("__first"))
-    verdict = F.when(~fresh, "TIMESTAMP_OUT_OF_WINDOW").when(F.col(order) == F.col("__first"), "OK").otherwise("NONCE_REUSED")
-    return requests.join(first, ["key_id", "nonce"], "left").withColumn("verdict", verdict).drop("__first")
+    claims = paced(requests.where(fresh).select("key_id", "nonce", "now_s", order), ["key_id", "nonce"], ["now_s", order], "now_s", 2 * skew_s, DAY_S)
+    claims = claims.select(F.col(order).alias("__order"), "due")
+    verdict = F.when(~F.coalesce(fresh, F.lit(False)), "TIMESTAMP_OUT_OF_WINDOW").when(F.col("due"), "OK").otherwise("NONCE_REUSED")
+    return requests.join(claims, F.col(order) == F.col("__order"), "left").withColumn("verdict", verdict).drop("__order", "due")
 
 
 def authenticated(requests: DataFrame, keys: DataFrame, order: str) -> DataFrame:
-    """Verdict of each request in this order: credentials, key, usable key, signature, replay. Later checks see only what passed.
+    """Verdict of each request in this order: credentials, key, usable key, signature, replay, rate. Later checks see only what passed.
 
-    ``keys`` is joined without a hint; Catalyst broadcasts it while it is known to be small.
+    ``keys`` has key_id, secret, enabled, rate_limit_capacity and rate_limit_refill_per_second; it is joined without a
+    hint, so Catalyst broadcasts it while it is known to be small. ``order`` is a unique integer; only what passed the
+    replay check takes a token, in order of time.
     """
-    r = requests.join(keys.select("key_id", "secret", "enabled"), "key_id", "left")
+    r = requests.join(keys.select("key_id", "secret", "enabled", "rate_limit_capacity", "rate_limit_refill_per_second"), "key_id", "left")
     text = canonical_request("method", "path", "timestamp_s", "nonce", "body")
+    absent = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     early = (
-        F.when(F.col("key_id").isNull() | F.col("signature").isNull(), "MISSING_CREDENTIALS").when(F.col("secret").isNull(), "UNKNOWN_KEY")
+        F.when(absent("key_id") | absent("signature") | absent("nonce") | ~F.coalesce(F.col("timestamp_s") > 0, F.lit(False)), "MISSING_CREDENTIALS").when(F.col("secret").isNull(), "UNKNOWN_KEY")
         .when(~F.coalesce("enabled", F.lit(False)), "DISABLED_KEY").when(~signature_ok(F.coalesce("secret", F.lit("")), text, F.coalesce("signature", F.lit(""))), "BAD_SIGNATURE")
     )
-    r = r.withColumn("early", early).drop("secret", "enabled")
-    passed = replay_verdicts(r.where("early is null"), order)
-    return passed.drop("early").unionByName(r.where("early is not null").withColumn("verdict", F.col("early")).drop("early"))
-
-
+    limits = ["rate_limit_capacity", "rate_limit_refill_per_second"]
+    checked = r.withColumn("early", early).drop("secret", "enabled")
+    checked = checked.sparkSession.read.parquet(write_shared(checked, "requests"))  # read thrice, signatures are dear
+    passed = replay_verdicts(checked.where("early is null"), order)
+    passed = passed.sparkSession.read.parquet(write_shared(passed, "passed"))
+    spent = rate_limited(passed.where("verdict = 'OK'").select("key_id", "now_s", order, (F.col("now_s") * 1000).alias("__ms"), F.lit(1.0).alias("__cost"), *limits), "key_id", ["now_s", order], "__ms", "__cost", *limits, width=DAY_S)
+    spent = spent.where("not allowed").select(F.col(order).alias("__order"), F.lit("RATE_LIMITED").alias("__late"))
+    late = passed.join(spent, F.col(order) == F.col("__order"), "left").withColumn("verdict", F.coalesce("__late", "verdict")).drop("early", "__order", "__late", *limits)
+    return late.unionByName(checked.where("early is not null").withColumn("verdict", F.col("early")).drop("early", *limits))

@@ -14,6 +14,7 @@ from tickforge.operators import decode, folds, metrics, scans, serving
 from tickforge.operators import divergence as dv
 from tickforge.plans.problems import _VS, _canon, canonical
 from tickforge.sources import table
+from tickforge.sources.shared import write_shared
 
 VENUES = ["altamar", "kesto", "norvex", "pirum"]
 QUERIES: dict = {}
@@ -236,20 +237,34 @@ def book_levels_trimmed(spark, d):
     return folds.final_books(_deltas(spark, d), depth=50)
 
 
-@query()
+_TOP = f"b: {{0}}.bids[1], a: {{0}}.asks[1], bs: coalesce(list_sum(list_transform({{0}}.bids[1:5], lambda y: y.size)), 0), az: coalesce(list_sum(list_transform({{0}}.asks[1:5], lambda y: y.size)), 0), o: {{0}}.o, e: {{0}}.e, sn: {{0}}.sn"
+_NO_BOOK = f"bids: []::{_LEVEL}, asks: []::{_LEVEL}, out: []::STRUCT(b STRUCT(price DOUBLE, size DOUBLE), a STRUCT(price DOUBLE, size DOUBLE), bs DOUBLE, az DOUBLE, o BIGINT, e BIGINT, sn BOOLEAN)[]"
+# Each step adds the book as it was before; the last book is added at the end, the empty one at the begin taken off.
+_STATES_SQL = f"""{_B}, src AS (SELECT session_id, venue, symbol, arrival, event_time_us, coalesce(is_snapshot, false) sn, bids, asks FROM c_book_deltas WHERE {_VALID_DELTA}),
+k AS (SELECT session_id, venue, symbol, list({{o: arrival, e: event_time_us, sn: sn, d_bids: bids, d_asks: asks, {_NO_BOOK}}} ORDER BY arrival) xs FROM src GROUP BY ALL),
+f AS (SELECT session_id, venue, symbol, list_reduce(list_prepend({{o: 0::BIGINT, e: 0::BIGINT, sn: false, d_bids: []::{_LEVEL}, d_asks: []::{_LEVEL}, {_NO_BOOK}}}, xs),
+  lambda acc, x: {{o: x.o, e: x.e, sn: x.sn, d_bids: x.d_bids, d_asks: x.d_asks, bids: {_patched('bids', 'DESC')}, asks: {_patched('asks', 'ASC')}, out: list_append(acc.out, {{{_TOP.format('acc')}}})}}) r FROM k),
+st AS (SELECT session_id, venue, symbol, unnest(list_append(r.out, {{{_TOP.format('r')}}})[2:]) u FROM f),
+tk AS (SELECT *, (max(u.e // 100000) OVER (PARTITION BY session_id, venue, symbol ORDER BY u.o) + 1) * 100000 emit FROM st),
+la AS (SELECT session_id, venue, symbol, emit, arg_max(u, u.o) u FROM tk GROUP BY ALL),
+qs AS (SELECT *, u.b.price bp, u.a.price ap, coalesce(u.b.price >= u.a.price, false) crossed, coalesce(u.b.price > 0 AND u.b.price <= u.a.price, false) AND NOT coalesce(u.b.price >= u.a.price, false) ok FROM la),
+pv AS (SELECT *, lag({{b: u.b, a: u.a, bs: u.bs, az: u.az, e: u.e}}) OVER (PARTITION BY session_id, venue, symbol, ok ORDER BY emit) p FROM qs),
+fin AS (SELECT *, crossed OR coalesce(ok AND p = {{b: u.b, a: u.a, bs: u.bs, az: u.az, e: u.e}}, false) suppressed FROM pv WHERE crossed OR ok)"""
+
+
+@query(f"""{_STATES_SQL} SELECT session_id, venue, symbol, bp AS bid_price, u.b.size AS bid_size, ap AS ask_price, u.a.size AS ask_size, (bp + ap) / 2 AS mid, round((ap - bp) / ((bp + ap) / 2) * 1e4 + 1e-10, 6) AS spread_bps,
+  round(CASE WHEN u.bs + u.az > 0 THEN (u.bs - u.az) / (u.bs + u.az) ELSE 0.0 END + 1e-10, 6) AS imbalance, u.e AS event_time_us, emit AS emit_time_us FROM fin WHERE NOT suppressed""")
 def book_quotes(spark, d):
-    q = folds.book_quotes(_deltas(spark, d))
-    return q.where("emit_time_us is not null and not crossed and not suppressed").drop("crossed", "suppressed", "snapshot")
+    q = folds.book_ticks(folds.book_states(_deltas(spark, d))).where("not suppressed").drop("crossed", "suppressed")
+    return q.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in ("spread_bps", "imbalance")})
 
 
-@query()
+@query(f"""{_STATES_SQL}, a AS (SELECT session_id, venue, symbol, count(*) FILTER (WHERE u.b.price >= u.a.price) AS crossed_books, count(*) FILTER (WHERE u.sn) AS snapshots_applied FROM st GROUP BY ALL),
+n AS (SELECT session_id, venue, symbol, count(*) FILTER (WHERE NOT suppressed) AS quotes_emitted, count(*) FILTER (WHERE suppressed) AS quotes_suppressed FROM fin GROUP BY ALL)
+SELECT session_id, venue, symbol, crossed_books, snapshots_applied, coalesce(quotes_emitted, 0) AS quotes_emitted, coalesce(quotes_suppressed, 0) AS quotes_suppressed FROM a LEFT JOIN n USING (session_id, venue, symbol)""")
 def book_counters(spark, d):
-    q = folds.book_quotes(_deltas(spark, d))
-    tick, event = F.col("emit_time_us").isNotNull(), F.col("emit_time_us").isNull()
-    return q.groupBy("session_id", "venue", "symbol").agg(
-        F.count_if(tick & ~F.col("suppressed")).alias("quotes_emitted"), F.count_if(tick & F.col("suppressed")).alias("quotes_suppressed"),
-        F.count_if(event & F.col("crossed")).alias("crossed_books"), F.count_if(event & F.col("snapshot")).alias("snapshots_applied"),
-    )
+    states = spark.read.parquet(write_shared(folds.book_states(_deltas(spark, d)), "states"))  # read twice
+    return folds.book_counters(states, folds.book_ticks(states))
 
 
 _SUM5 = "coalesce(list_sum(list_transform(coalesce({}, [])[1:5], lambda l: coalesce(l.size, 0))), 0)"
@@ -484,36 +499,53 @@ def fan_in(spark, d):
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
-        "event_id", F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key_id"), F.concat(F.lit("n"), (F.col("event_id") % 997).cast("string")).alias("nonce"), F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("now_s"),
-        F.expr("unix_micros(cast(ts as timestamp)) div 1000000 - event_id % 40").alias("timestamp_s"), F.lit("GET").alias("method"), F.concat(F.lit("/v1/"), F.col("event_type")).alias("path"), F.col("props").alias("body"),
+        "event_id", F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key_id"), F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")).alias("nonce"), F.expr("unix_micros(cast(ts as timestamp)) div 2000000000").alias("now_s"),
+        F.expr("unix_micros(cast(ts as timestamp)) div 2000000000 - event_id % 40").alias("timestamp_s"), F.lit("GET").alias("method"), F.concat(F.lit("/v1/"), F.col("event_type")).alias("path"), F.col("props").alias("body"),
     )
 
 
-_R = """r AS (SELECT event_id, 'k' || user_id AS key_id, 'n' || (event_id % 997) AS nonce, event_id % 40 AS age FROM events)"""
+_R = """r AS (SELECT event_id, 'k' || user_id AS key_id, 'n' || (event_id % 3) AS nonce, event_id % 40 AS age, epoch_us(ts) // 2000000000 AS t FROM events)"""
+
+
+def _claimed_sql(source: str, out: str) -> str:
+    """A nonce is claimed by the first request in order of time and free again 60 seconds later."""
+    free = "acc.c IS NULL OR x.t - acc.c >= 60"
+    step = f"{{i: x.i, t: x.t, c: CASE WHEN {free} THEN x.t ELSE acc.c END, out: list_append(acc.out, {{i: x.i, ok: {free}}})}}"
+    return _fold_sql(source, "key_id, nonce", "t, event_id", "i: event_id, t: t", "i: 0::BIGINT, t: 0::BIGINT", "c: NULL::BIGINT, out: []::STRUCT(i BIGINT, ok BOOLEAN)[]", step, out)
 
 
-@query(f"""WITH {_R}, f AS (SELECT *, min(CASE WHEN age <= 30 THEN event_id END) OVER (PARTITION BY key_id, nonce) first FROM r)
-SELECT event_id, CASE WHEN age > 30 THEN 'TIMESTAMP_OUT_OF_WINDOW' WHEN event_id = first THEN 'OK' ELSE 'NONCE_REUSED' END AS verdict FROM f""")
+def _bucket_sql(source: str, keys: str, order: str, capacity: float, refill: float, out: str) -> str:
+    """Tokens ``u.k`` that a request with cost ``u.c`` finds; ``src`` has event_id, ms and cost."""
+    found = f"least({capacity}, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * {refill})"
+    step = f"{{a: x.a, ms: x.ms, c: x.c, t: x.ms, k: CASE WHEN {found} >= x.c THEN {found} - x.c ELSE {found} END, out: list_append(acc.out, {{a: x.a, k: {found}, c: x.c}})}}"
+    return _fold_sql(source, keys, order, "a: event_id, ms: ms::BIGINT, c: cost::DOUBLE", "a: 0::BIGINT, ms: 0::BIGINT, c: 0::DOUBLE", f"t: NULL::BIGINT, k: {capacity}::DOUBLE, out: []::STRUCT(a BIGINT, k DOUBLE, c DOUBLE)[]", step, out)
+
+
+@query(_claimed_sql(f"WITH {_R}, src AS (SELECT * FROM r WHERE age <= 30)", "SELECT event_id, CASE WHEN age > 30 THEN 'TIMESTAMP_OUT_OF_WINDOW' WHEN u.ok THEN 'OK' ELSE 'NONCE_REUSED' END AS verdict FROM r LEFT JOIN o ON event_id = u.i"))
 def replay_guard(spark, d):
+    """Three nonces a key and a clock 2,000 times as fast as the events', so that nonces come again within their lifetime and after it."""
     return serving.replay_verdicts(_requests(spark, d), "event_id").select("event_id", "verdict")
 
 
-@query("""SELECT event_id, sha256(props) AS body_sha, 'GET' || chr(10) || '/v1/' || event_type || chr(10) || CAST(CAST(epoch_us(ts) // 1000000 - event_id % 40 AS BIGINT) AS VARCHAR) || chr(10) || 'n' || (event_id % 997) || chr(10) || sha256(props) AS text FROM events""")
+@query("""SELECT event_id, sha256(props) AS body_sha, 'GET' || chr(10) || '/v1/' || event_type || chr(10) || CAST(CAST(epoch_us(ts) // 2000000000 - event_id % 40 AS BIGINT) AS VARCHAR) || chr(10) || 'n' || (event_id % 3) || chr(10) || sha256(props) AS text FROM events""")
 def signed_text(spark, d):
     return _requests(spark, d).select("event_id", F.sha2("body", 256).alias("body_sha"), m.canonical_request("method", "path", "timestamp_s", "nonce", "body").alias("text"))
 
 
-@query(f"""WITH {_R}, v AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'MISSING_CREDENTIALS' WHEN TRY_CAST(key_id[2:] AS BIGINT) % 5 = 0 THEN 'UNKNOWN_KEY' WHEN TRY_CAST(key_id[2:] AS BIGINT) % 5 = 1 THEN 'DISABLED_KEY' WHEN event_id % 7 = 0 THEN 'BAD_SIGNATURE' END early FROM r),
-f AS (SELECT *, min(CASE WHEN age <= 30 AND early IS NULL THEN event_id END) OVER (PARTITION BY key_id, nonce) first FROM v)
-SELECT coalesce(early, CASE WHEN age > 30 THEN 'TIMESTAMP_OUT_OF_WINDOW' WHEN event_id = first THEN 'OK' ELSE 'NONCE_REUSED' END) AS verdict, count(*) AS n FROM f GROUP BY 1""")
+_EARLY = f"""{_R}, v AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'MISSING_CREDENTIALS' WHEN TRY_CAST(key_id[2:] AS BIGINT) % 5 = 0 THEN 'UNKNOWN_KEY' WHEN TRY_CAST(key_id[2:] AS BIGINT) % 5 = 1 THEN 'DISABLED_KEY' WHEN event_id % 7 = 0 THEN 'BAD_SIGNATURE' END early FROM r)"""
+
+
+@query(f"""WITH {_EARLY}, cl AS ({_claimed_sql("WITH src AS (SELECT * FROM v WHERE early IS NULL AND age <= 30)", "SELECT u.i AS event_id, u.ok FROM o")}),
+li AS ({_bucket_sql("WITH src AS (SELECT key_id, event_id, t * 1000 AS ms, 1.0 AS cost, t FROM v JOIN cl USING (event_id) WHERE ok)", "key_id", "t, event_id", 2.0, 0.01, "SELECT u.a AS event_id, u.k >= u.c AS allowed FROM o")})
+SELECT event_id, coalesce(early, CASE WHEN age > 30 THEN 'TIMESTAMP_OUT_OF_WINDOW' WHEN NOT ok THEN 'NONCE_REUSED' WHEN allowed THEN 'OK' ELSE 'RATE_LIMITED' END) AS verdict FROM v LEFT JOIN cl USING (event_id) LEFT JOIN li USING (event_id)""")
 def authentication(spark, d):
     """Keys of users divisible by 5 don't exist, those that leave 1 are disabled; every seventh signature is wrong, every thirteenth missing."""
     r = _requests(spark, d)
     users = table(spark, d, "events").select("user_id").distinct().where("user_id % 5 <> 0")
-    keys = users.select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key_id"), F.concat(F.lit("secret"), F.col("user_id").cast("string")).alias("secret"), (F.col("user_id") % 5 != 1).alias("enabled"))
+    keys = users.select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key_id"), F.concat(F.lit("secret"), F.col("user_id").cast("string")).alias("secret"), (F.col("user_id") % 5 != 1).alias("enabled"), F.lit(2).alias("rate_limit_capacity"), F.lit(0.01).alias("rate_limit_refill_per_second"))
     text = m.canonical_request("method", "path", "timestamp_s", "nonce", "body")
     signed = r.withColumn("signature", F.when(F.col("event_id") % 13 == 0, None).when(F.col("event_id") % 7 == 0, "wrong").otherwise(_sign(F.concat(F.lit("secret"), F.substring("key_id", 2, 20)), text)))
-    return serving.authenticated(signed, keys, "event_id").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return serving.authenticated(signed, keys, "event_id").select("event_id", "verdict")
 
 
 @F.pandas_udf(T.StringType())
@@ -521,11 +553,7 @@ def _sign(secret: pd.Series, text: pd.Series) -> pd.Series:
     return (secret + "\x01" + text).map(lambda x: serving.sign(*x.split("\x01", 1)) if isinstance(x, str) else None)
 
 
-@query(_fold_sql(
-    "WITH src AS (SELECT user_id, event_id, epoch_us(ts) // 1000 // 1000 ms, CASE WHEN event_type = 'purchase' THEN 10.0 ELSE 1.0 END cost FROM events)", "user_id", "event_id", "a: event_id, ms: ms::BIGINT, c: cost::DOUBLE", "a: 0::BIGINT, ms: 0::BIGINT, c: 0::DOUBLE",
-    "t: NULL::BIGINT, k: 20::DOUBLE, out: []::STRUCT(a BIGINT, k DOUBLE, c DOUBLE)[]",
-    """{a: x.a, ms: x.ms, c: x.c, t: x.ms, k: CASE WHEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2) >= x.c THEN least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2) - x.c
-      ELSE least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2) END, out: list_append(acc.out, {a: x.a, k: least(20, acc.k + coalesce(greatest(0, x.ms - acc.t), 0) / 1e3 * 1e-2), c: x.c})}""",
+@query(_bucket_sql("WITH src AS (SELECT user_id, event_id, epoch_us(ts) // 1000 // 1000 ms, CASE WHEN event_type = 'purchase' THEN 10.0 ELSE 1.0 END cost FROM events)", "user_id", "event_id", 20.0, 1e-2,
     """SELECT user_id, u.a AS event_id, u.k >= u.c AS allowed, CAST(floor(CASE WHEN u.k >= u.c THEN u.k - u.c ELSE u.k END) AS BIGINT) AS remaining, CAST(CASE WHEN u.k >= u.c THEN 0 ELSE ceil((u.c - u.k) / 1e-2) END AS BIGINT) AS retry_after_s FROM o"""))
 def rate_limits(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000 div 1000").alias("ms"), F.when(F.col("event_type") == "purchase", 10.0).otherwise(1.0).alias("cost"))
@@ -538,7 +566,7 @@ def rate_limits(spark, d):
     "SELECT venue, u.e AS emit_time_us, u.a AS quote_id FROM o"))
 def coalesced_quotes(spark, d):
     """What a subscriber of all symbols of a venue gets at 10 quotes a second."""
-    return folds.coalesced(_quotes(spark, d).where("emit_time_us is not null"), "venue", ["emit_time_us", "quote_id"], "emit_time_us", 10).drop("emit_us")
+    return folds.coalesced(_quotes(spark, d).where("emit_time_us is not null"), "venue", ["emit_time_us", "quote_id"], "emit_time_us", 10)
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------------------------
