@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tickforge.operators import redelivery
 from tickforge.operators.redelivery import Bloom, exactly_once, surplus_deliveries
 
 S = "arrival bigint, venue string, symbol string, trade_id string, sequence bigint, ingest_time_us bigint, price double, first bigint"
@@ -47,6 +48,20 @@ def test_hot_message_and_passed_columns(spark, rows):
     assert got == [(0, i, float(i)) for i in range(3, 600, 3)]
 
 
+def test_columns_that_are_kept(spark, rows):
+    df = spark.createDataFrame([(i, "a", "X", "m", -1, i, float(i), 1) for i in range(3)], S)
+    assert set(surplus_deliveries(df, keep=["price"]).columns) == {"arrival", "first_arrival", "price"}
+    assert rows(surplus_deliveries(df, keep=[]), "first_arrival", "arrival") == [(0, 1), (0, 2)]
+
+
+def test_old_buckets_hold_no_identifiers():
+    history = redelivery._History()
+    for b in range(3 * redelivery.BRANCH**redelivery.LEVELS):
+        history.add(b, np.array([b], np.int64))
+    assert len(history.levels) == redelivery.LEVELS + 1 and all(n.ids is None for n in history.levels[-1])
+    assert [b for b, _ in history.matches(np.array([5], np.int64))] == [5]
+
+
 def test_empty(spark, rows):
     df = spark.createDataFrame([], S)
     assert rows(surplus_deliveries(df)) == [] and rows(exactly_once(df)) == []

@@ -21,8 +21,8 @@ from tickforge.sources.shared import write_shared
 
 #: Width of the time buckets of delivery; each gets a Bloom filter of its own.
 BUCKET_US = 21_600_000_000
-#: Filters that are joined to one of the next level.
-BRANCH = 16
+#: Filters that are joined to one of the next level, and levels up to which identifiers are kept to build the next.
+BRANCH, LEVELS = 16, 2
 #: Bits of a Bloom filter per identifier, and probes per identifier.
 BITS, PROBES = 16, 4
 
@@ -62,7 +62,11 @@ class _Node:
 
 
 class _History:
-    """The filters of all buckets so far, as a tree: a search goes down only where a filter matches."""
+    """The filters of all buckets so far, as trees: a search goes down only where a filter matches.
+
+    Identifiers are held only until the filter over their ``BRANCH ** LEVELS`` buckets is built; after that, a bucket
+    costs its filters alone, some bytes per identifier.
+    """
 
     def __init__(self):
         self.levels: list[list[_Node]] = [[]]
@@ -73,6 +77,9 @@ class _History:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(node)
+            if level == LEVELS:
+                node.ids = None
+                return
             if len(self.levels[level]) < BRANCH:
                 return
             children, self.levels[level] = self.levels[level], []
@@ -131,11 +138,11 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def surplus_deliveries(df: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
-    """All surplus rows of ``df`` with ``first_arrival``, the arrival of their message's first delivery.
+def surplus_deliveries(df: DataFrame, bucket_us: int = BUCKET_US, keep: list[str] | None = None) -> DataFrame:
+    """``arrival`` of all surplus rows of ``df`` with ``first_arrival``, the arrival of their message's first delivery.
 
     ``df`` has venue and symbol in canonical form, trade_id, sequence, ingest_time_us and a unique, non-null
-    ``arrival``; other columns are passed through. Null venues count as one venue, null symbols as one symbol; rows
+    ``arrival``; the columns in ``keep`` (all, unless given) are passed through, others aren't shuffled. Null venues count as one venue, null symbols as one symbol; rows
     with a null ingest_time_us share a bucket. An empty table gives an empty result.
 
     1. Screening: per identifier hash and time bucket of delivery, combined on the map side (an identifier that makes
@@ -160,7 +167,9 @@ def surplus_deliveries(df: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     cells = rows.groupBy("__bucket", "__hash").agg(F.count(F.lit(1)).alias("__n"))
     sorted_cells = cells.repartition("__hash").sortWithinPartitions("__bucket")
     suspects = sorted_cells.mapInArrow(_screen, "__bucket bigint, __hash bigint").distinct()
-    stored_at = write_shared(rows.join(suspects, ["__bucket", "__hash"], "left_semi").drop("__bucket", "__hash"), "suspects")
+    passed = [c for c in (df.columns if keep is None else keep) if c != "arrival"]
+    narrow = rows.select("__bucket", "__hash", "__message", "__seq", "arrival", *passed)
+    stored_at = write_shared(narrow.join(suspects, ["__bucket", "__hash"], "left_semi").drop("__bucket", "__hash"), "suspects")
     stored = df.sparkSession.read.parquet(stored_at)
 
     by_seq = stored.groupBy("__message", "__seq").agg(F.min("arrival").alias("__first"))
@@ -179,5 +188,5 @@ def surplus_deliveries(df: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
 
 def exactly_once(df: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """``df`` without its surplus deliveries: one row per message, the first, and all rows that have no identity."""
-    surplus = surplus_deliveries(df, bucket_us).select("arrival")
+    surplus = surplus_deliveries(df, bucket_us, []).select("arrival")
     return df.join(surplus, "arrival", "left_anti")

@@ -46,7 +46,7 @@ def p2_symbol_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     trades = canonical(spark, d, "trades", "arrival", "venue", "symbol", "trade_id", "sequence", "ingest_time_us")
-    return surplus_deliveries(trades).select("first_arrival", "arrival")
+    return surplus_deliveries(trades, keep=[]).select("first_arrival", "arrival")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:
     trades = canonical(spark, d, "trades", "arrival", "venue", "symbol", "trade_id", "price", "size", "event_time_us", "ingest_time_us", "sequence")
-    return corrected_bars(trades, surplus_deliveries(trades))
+    return corrected_bars(trades, surplus_deliveries(trades, keep=["venue", "symbol", "price", "size", "event_time_us", "ingest_time_us"]))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
