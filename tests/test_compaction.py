@@ -47,3 +47,26 @@ def test_checksum_sees_rows_lost_doubled_or_changed(spark):
     assert multiset_checksum(df) == same
     for other in (df.where("a > 0"), df.unionByName(df.limit(1)), df.selectExpr("a + 1 as a", "b")):
         assert multiset_checksum(other) != same
+
+
+def test_checksum_comes_from_the_source(spark, monkeypatch):
+    data = [(1, "v", "x", 1.0, "d"), (2, "v", "y", 1.0, "d"), (2, "v", "x", 1.0, "d"), (3, "v", "y", 1.0, "d")]
+    write = compaction.write_shared
+    monkeypatch.setattr(compaction, "write_shared", lambda df, name, **kw: write(df.limit(0) if name == "compacted" else df, name, **kw))
+    with pytest.raises(compaction.ChecksumMismatch):
+        compact(spark.createDataFrame(data, R), spark.createDataFrame(files(), F))
+
+
+def test_files_come_out_at_the_target(spark):
+    data = [(i % 2 + 1, "v", f"{i}-{hash(i * 7919)}", float(i), "d") for i in range(60_000)]
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes = {}
+    # few rows: several map tasks, between whose outputs a partition is split
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for target in (100_000, 100_000_000):
+        manifest, _ = compact(spark.createDataFrame(data, R).repartition(8), spark.createDataFrame(files(), F), target_bytes=target)
+        sizes[target] = compaction.file_sizes(spark.read.parquet(manifest.first().new_path)).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 <= len(sizes[100_000_000]) < len(sizes[100_000])
+    assert all(sum(r.n_rows for r in s) == 60_000 for s in sizes.values())
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before

@@ -81,3 +81,22 @@ def test_config():
     for bad in ({"window_seconds": 0}, {"baseline_warm": 700}, {"replay_start_us": 5, "replay_end_us": 5}):
         with pytest.raises(ValueError):
             Config(**bad)
+
+
+def test_intermediate_folders_are_deleted_at_the_end(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from tickforge.sources.shared import write_shared
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+write_shared(spark.range(3), "a"); write_shared(spark.range(3), "b", lasting=True)
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
+    assert [n[0] for n in os.listdir(tmp_path) if n.startswith(("a-", "b-"))] == ["b"]

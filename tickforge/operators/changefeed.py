@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.sources.shared import shared_dir, write_shared
+from tickforge.sources.shared import shared_dir, will_vanish, write_shared
 
 #: Positions that one bitmap covers; a file longer than this has several.
 BITMAP_POSITIONS = 32_768
@@ -65,6 +65,7 @@ class ImageStore:
     def __init__(self, spark: SparkSession, key: list[str], scope: list[str]):
         self.spark, self.key, self.scope = spark, key, scope
         self.path = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+        will_vanish(spark, self.path)
         self.batches = 0
         self._index: DataFrame | None = None
         self._snapshots: DataFrame | None = None

@@ -21,13 +21,11 @@ def heavy_keys(df: DataFrame, source: str, key: str, share: float) -> DataFrame:
     """Keys holding at least ``share`` of all rows of their ``source``, as (source, key, n_rows).
 
     All rows count towards the whole, those with a null key too; a null key itself is never listed, nor is a null
-    source. The totals are sums of the compact per-key states, so the rows are read and shuffled once.
+    source. The totals are sums of the compact per-key states, and both sides of the join share one exchange of these, so
+    the rows are read and shuffled once.
     """
     per_key = balanced_totals(df, [source, key], n_rows=F.count(F.lit(1)))
     totals = per_key.groupBy(F.col(source).alias("__source")).agg(F.sum("n_rows").alias("__total"))
-    return (
-        per_key.where(F.col(key).isNotNull())
-        .join(totals, F.col(source) == F.col("__source"))
-        .where(F.col("n_rows") >= F.lit(share) * F.col("__total"))
-        .select(source, key, "n_rows")
-    )
+    # one condition on both, as a filter on the key alone would be pushed into one side and the rows read twice
+    heavy = F.when(F.col("n_rows") >= F.lit(share) * F.col("__total"), F.col(key).isNotNull()).otherwise(F.lit(False))
+    return per_key.join(totals, F.col(source) == F.col("__source")).where(heavy).select(source, key, "n_rows")
