@@ -14,12 +14,8 @@ from pyspark.sql import functions as F
 from tickforge.llm.bpe import VOCABULARY, blocks, encoder, ship
 from tickforge.sources.shared import write_shared
 
-#: Items packed against each other at once, rounds over what is left open, and the fill from which a bin is closed.
-ITEMS, ROUNDS, CLOSED = 8_192, 3, 0.98
-#: Of a bin to be emptied, so many of its largest items are tried in pairs; all are tried singly.
-LARGEST = 16
-#: Times that the search goes over all underfull bins at most; it ends earlier when a pass changes nothing.
-PASSES = 8
+#: Items packed against each other at once, and the fill from which a bin is closed.
+ITEMS, CLOSED = 8_192, 0.98
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -27,7 +23,8 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
     Items are first placed in falling size into the fullest bin that takes them. Then the emptiest bins are emptied into
     the other underfull ones: an item moves, or is exchanged one for one, one for two or two for one, whenever that
-    increases the sum of squared fills, that is, when the fuller bin grows; a bin that becomes empty is dropped.
+    increases the sum of squared fills, that is, when the fuller bin grows; a bin that becomes empty is dropped. All pairs
+    of a bin's items are tried, and the search ends when no underfull bin has such a step left.
     """
     if not len(sizes):
         return np.zeros(0, np.int64)
@@ -55,12 +52,11 @@ def _search(bin_of: np.ndarray, sizes: np.ndarray, count: int, capacity: int) ->
     fill = np.bincount(bin_of, weights=sizes, minlength=count).astype(np.int64)
     least = -(-int(fill.sum()) // capacity)
     stuck = np.zeros(count, bool)
-    passes, changed = 0, False
+    changed = False
     while count > least:
         candidates = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
         if not len(candidates):
-            passes += 1
-            if not changed or passes == PASSES:
+            if not changed:
                 return
             stuck[:], changed = False, False  # what was stuck may have found room since
             continue
@@ -102,21 +98,37 @@ def _step(a: int, bin_of: np.ndarray, sizes: np.ndarray, fill: np.ndarray, capac
         k = best(sizes[i] - sizes, bin_of)
         if k >= 0:
             return int(bin_of[k]), [i], [k]
-    largest = own[:LARGEST]
-    for x in range(len(largest)):  # two for one
-        for y in range(x + 1, len(largest)):
-            k = best(sizes[largest[x]] + sizes[largest[y]] - sizes, bin_of)
-            if k >= 0:
-                return int(bin_of[k]), [largest[x], largest[y]], [k]
+    one = np.array(own)
+    x, y = np.triu_indices(len(one), 1)
+    got = _exchange(one[x], one[y], sizes[one[x]] + sizes[one[y]], np.arange(len(sizes)), None, sizes, bin_of, best)  # two for one
+    if got is not None:
+        return got
     order = np.argsort(bin_of, kind="stable")
-    pairs = np.flatnonzero(bin_of[order[1:]] == bin_of[order[:-1]])  # one for two neighbours of a bin
-    if len(pairs):
-        first, second = order[pairs], order[pairs + 1]
-        both = sizes[first] + sizes[second]
-        for i in own:
-            k = best(sizes[i] - both, bin_of[first])
-            if k >= 0:
-                return int(bin_of[first[k]]), [i], [int(first[k]), int(second[k])]
+    order = order[room[bin_of[order]] > 0]
+    held = bin_of[order]
+    first, second = [], []
+    for apart in range(1, len(order)):
+        at = np.flatnonzero(held[apart:] == held[:-apart])
+        if not len(at):
+            break
+        first.append(order[at])
+        second.append(order[at + apart])
+    if first:
+        p, q = np.concatenate(first), np.concatenate(second)
+        return _exchange(one, None, sizes[one], p, q, sizes[p] + sizes[q], bin_of, best)  # one for two
+    return None
+
+
+def _exchange(give: np.ndarray, give_too: np.ndarray | None, given: np.ndarray, take: np.ndarray, take_too: np.ndarray | None, taken: np.ndarray, bin_of: np.ndarray, best) -> tuple[int, list[int], list[int]] | None:
+    """The first exchange, in falling size of what is given, that ``best`` has a place for; sizes given are tried once each."""
+    bins = bin_of[take]
+    for size in np.unique(given)[::-1].tolist():
+        k = best(size - taken, bins)
+        if k >= 0:
+            i = int(np.flatnonzero(given == size)[0])
+            own = [int(give[i])] + ([] if give_too is None else [int(give_too[i])])
+            other = [int(take[k])] + ([] if take_too is None else [int(take_too[k])])
+            return int(bins[k]), own, other
     return None
 
 
@@ -135,7 +147,7 @@ def fill_containers(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
 
     Texts are measured and packed where they are read, ``ITEMS`` at a time, without a shuffle. Only the items of bins
     less than ``CLOSED`` full go on, without their texts, into further rounds over fewer and fewer partitions, so
-    underfull bins of different tasks are searched together; ``ROUNDS`` bounds the rounds and no item is ever dropped.
+    underfull bins of different tasks are searched together, until a round saves no container. No item is ever dropped.
     """
     spark = docs.sparkSession
     shipped = ship(spark, vocabulary)
@@ -203,15 +215,18 @@ def fill_containers(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     done: list[DataFrame] = []
     at = spark.read.parquet(write_shared(docs.select(key, text).mapInArrow(measure, schema), "bins-0"))
     is_open = (F.col("fill") < int(CLOSED * capacity)) & (F.col("bin") != "")
-    for r in range(1, ROUNDS + 1):
-        left = at.where(is_open)
-        items = left.count()
-        if not items:
-            break
+    count = lambda: at.where(is_open).agg(F.count(F.lit(1)), F.countDistinct("bin")).first()
+    items, bins = count()
+    round_ = 0
+    while items:
+        round_ += 1
         done.append(at.where(~is_open))
-        packed = left.repartition(-(-items // (4 * ITEMS))).mapInArrow(again(r), schema)
-        at = spark.read.parquet(write_shared(packed, f"bins-{r}"))
-        if items <= ITEMS:
+        packed = at.where(is_open).repartition(-(-items // (4 * ITEMS))).mapInArrow(again(round_), schema)
+        at = spark.read.parquet(write_shared(packed, f"bins-{round_}"))
+        before, alone = bins, items <= ITEMS
+        items, bins = count()
+        closed = at.where(~is_open).agg(F.countDistinct("bin")).first()[0]
+        if alone or bins + closed >= before:
             break
     for d in done:
         at = at.unionByName(d)
