@@ -130,3 +130,20 @@ def test_no_stuck_or_wide_reading_is_screened_out(spark, monkeypatch, segment):
             own = {ids[table, name, 10 + i] for i in range(len(values))}
             assert {i for t, i in got if t == table and i in own} == want, name
             assert want or name == "four"
+
+
+def test_each_source_gets_its_own_transitions():
+    quiet, jumpy = np.zeros((400, 4)), np.zeros((400, 4))
+    quiet[:, 0] = 1.0
+    jumpy[::2, 0], jumpy[1::2, 1] = 1.0, 1.0
+    own = anomalies.fitted(np.concatenate([quiet, jumpy]), np.repeat([0, 1], 400), 2)
+    assert np.allclose(own.sum(2), 1)
+    assert own[0, 0, 1] < anomalies.TRANSITION[0, 1] < own[1, 0, 1]
+    e = np.tile(np.array([[0.3, 0.2, 0.1, 0.0]]), (2, 30, 1))
+    assert np.allclose(anomalies.forward_backward(e, np.stack([anomalies.TRANSITION] * 2)), anomalies.forward_backward(e))
+
+
+def test_nine_digits():
+    x = np.array([0.1 + 0.2, 1.0000000001, 123456789.4, 3e-12, 7.0])
+    assert np.allclose(anomalies.nine_digits(x), [0.3, 1.0, 123456789.0, 3e-12, 7.0], rtol=1e-12, atol=0)
+    assert anomalies.nine_digits(np.array([64000.13 - 64000.12]))[0] == anomalies.nine_digits(np.array([64000.13 - 64000.12]))[0]

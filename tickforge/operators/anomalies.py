@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tickforge.operators.medians import exact_medians
 from tickforge.sources.shared import write_shared
 
-#: States of the model, and the chance of each next state. Every source shares them; scales are the source's own.
+#: States of the model, and the chance of each next state before a source is known; each source's own chances are then
+#: fitted to its readings, with PRIOR steps' weight on these. Scales are the source's own from the begin.
 NORMAL, SPIKE, STUCK, OUT = range(4)
 TRANSITION = np.array([[0.9875, 0.01, 0.0005, 0.002], [0.5, 0.497, 0.001, 0.002], [0.03, 0.002, 0.966, 0.002], [0.9, 0.05, 0.01, 0.04]])
+PRIOR = 200.0
 #: Posterior probability from which a reading is a candidate; the exact rules follow, so it is low.
 CANDIDATE = 0.02
 #: Share of a source's approximate median from which the thresholds of spreads and ratios are screened. Every reading that
@@ -172,25 +174,41 @@ def _neighbours(ends: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)[ends.columns]
 
 
-def forward_backward(emission: np.ndarray) -> np.ndarray:
-    """Posterior state probabilities of many sequences at once; emission and result: (sequence, step, state)."""
+def forward_backward(emission: np.ndarray, transition: np.ndarray = TRANSITION) -> np.ndarray:
+    """Posterior state probabilities of many sequences at once; emission and result: (sequence, step, state).
+
+    ``transition``: one for all, or one per sequence.
+    """
     n, steps, k = emission.shape
+    next_ = (lambda x: x @ transition) if transition.ndim == 2 else (lambda x: np.einsum("ni,nij->nj", x, transition))
+    back_ = (lambda x: x @ transition.T) if transition.ndim == 2 else (lambda x: np.einsum("nj,nij->ni", x, transition))
     forward = np.empty_like(emission)
     state = np.tile(np.array([0.985, 0.01, 0.003, 0.002]), (n, 1))
     for i in range(steps):
-        state = (state @ TRANSITION if i else state) * emission[:, i]
+        state = (next_(state) if i else state) * emission[:, i]
         state /= np.maximum(state.sum(1, keepdims=True), 1e-300)
         forward[:, i] = state
     back = np.ones((n, k))
     for i in range(steps - 1, -1, -1):
         forward[:, i] *= back
         forward[:, i] /= np.maximum(forward[:, i].sum(1, keepdims=True), 1e-300)
-        back = (back * emission[:, i]) @ TRANSITION.T
+        back = back_(back * emission[:, i])
         back /= np.maximum(back.sum(1, keepdims=True), 1e-300)
     return forward
 
 
-def _posteriors(emission: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def fitted(post: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    """Transition chances per sequence, as its posteriors have them beside PRIOR steps of the shared ones."""
+    same = g[1:] == g[:-1]
+    counts = np.empty((n, 4, 4))
+    for i in range(4):
+        for j in range(4):
+            counts[:, i, j] = np.bincount(g[1:][same], weights=post[:-1, i][same] * post[1:, j][same], minlength=n)
+    counts += PRIOR * TRANSITION
+    return counts / counts.sum(2, keepdims=True)
+
+
+def _posteriors(emission: np.ndarray, starts: np.ndarray, transitions: np.ndarray | None = None) -> np.ndarray:
     """Posteriors along sequences that begin at ``starts``, in overlapping chunks of equal length."""
     n = len(emission)
     ends = np.r_[starts[1:], n]
@@ -203,7 +221,7 @@ def _posteriors(emission: np.ndarray, starts: np.ndarray) -> np.ndarray:
         at = lo[sl, None] + np.arange(CHUNK + 2 * OVERLAP)[None, :]
         real = at < hi[sl, None]
         got = np.where(real[..., None], emission[np.minimum(at, n - 1)], 1.0)  # steps past the end say nothing
-        post = forward_backward(got)
+        post = forward_backward(got, TRANSITION if transitions is None else transitions[owner[sl]])
         keep = real & (at >= first[sl, None]) & (at < first[sl, None] + CHUNK)
         out[at[keep]] = post[keep]
     return out
@@ -216,6 +234,12 @@ def _around(x: np.ndarray, starts: np.ndarray, g: np.ndarray, reach: int) -> np.
     return np.median(x[np.clip(at, starts[g][:, None], ends[g][:, None] - 1)], axis=1)
 
 
+def nine_digits(x: np.ndarray) -> np.ndarray:
+    """Positive numbers at nine significant digits, so that equal changes of prices are equal numbers."""
+    unit = 10.0 ** (8 - np.floor(np.log10(np.maximum(x, 1e-290))))
+    return np.round(x * unit) / unit
+
+
 def _judge(rules: Rules):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _segments(batches):
@@ -270,7 +294,7 @@ def _field(rows: pa.Table, column: str, kind: int, rules: Rules) -> Iterator[pa.
     # value counts for the exact medians
     if kind == LEVEL:
         told = np.flatnonzero(moved & ~h)
-        value = np.array([float(f"{v:.9g}") for v in step[told]])
+        value = nine_digits(step[told])
     else:
         told = np.flatnonzero(~h)
         value = np.abs(y[told]) if kind == RATIO else y[told]
@@ -302,7 +326,10 @@ def _field(rows: pa.Table, column: str, kind: int, rules: Rules) -> Iterator[pa.
     emission[ok, NORMAL] = np.where(same, usual_same, 1 - usual_same) * normal
     emission[ok, SPIKE] = np.where(same, 0.05, 0.95) * jump
     emission[ok, STUCK] = np.where(same, 0.999, 0.001) * normal
-    post = _posteriors(emission, starts)[ok]
+    post = _posteriors(emission, starts)
+    by_source = _posteriors(emission, starts, fitted(post, g, len(starts)))
+    # a reading is looked at if either model says so: where a source has no spike yet, its own model hardly expects one
+    post = np.maximum(post, by_source)[ok]
 
     spike = post[:, SPIKE] >= CANDIDATE
     if kind == LEVEL:
