@@ -39,6 +39,9 @@ def test_reconciliation(spark, rows):
     assert rows(serving.reconcile(live, replay), "window_start_us", "verdict") == [(0, "live_only"), (2, "mismatch"), (3, "replay_only")]
     assert {r.field for r in serving.compare_fields(live, replay).collect()} == set(serving.FIELDS) - {"trade_count"}
     assert rows(serving.one_sided(live, replay), "window_start_us") == [(0,)]
+    assert rows(serving.comparison_verdict(live, replay), "shared", "mismatched", "verdict") == [(2, 6, "too_few")]
+    assert rows(serving.comparison_verdict(live, replay, least=1), "verdict") == [("mismatch",)]
+    assert rows(serving.comparison_verdict(live, live, least=3), "verdict") == [("equal",)]
     assert rows(serving.reconcile(live.limit(0), replay.limit(0))) == []
 
 
@@ -78,7 +81,8 @@ def test_metrics(spark, rows):
     c = spark.createDataFrame([("a", 0, 10), ("a", 60, 15), ("a", 120, 3), ("a", 180, 8)], "v string, s bigint, c bigint")
     assert rows(metrics.counter_increase(c, "c", "s", 120, "v"), "s", "increase") == [(0, 0), (60, 5), (120, 8), (180, 8)]
     st = spark.createDataFrame([("a", "ok", 0), ("a", "duplicate", 0), ("a", "gap", 3)], "v string, status string, missing bigint")
-    assert rows(metrics.pipeline_stats(st, "v"), "received", "published", "duplicates", "gaps", "missed", "lost") == [(3, 2, 1, 1, 3, 0)]
+    assert rows(metrics.pipeline_stats(st, "v"), "received", "published", "duplicates", "gaps", "missed") == [(3, 2, 1, 1, 3)]
+    assert rows(metrics.lost_messages(df, st, st.limit(1), "v"), "v", "received", "dropped", "stored", "lost") == [("a", 101, 3, 1, 97)]
     amp = metrics.read_amplification(spark.createDataFrame([("t", 1), ("b", 9)], "k string, n bigint"), "k", "n", ["t"]).first()
     assert amp.amplification == 10.0 and amp.waste == pytest.approx(0.9)
     jobs = spark.createDataFrame([("one", 100, 0, 5), ("one", 300, 1, 7), ("per_topic", 60, 0, 2)], "l string, ms bigint, f bigint, s bigint")

@@ -6,7 +6,7 @@ Each feed has two views of its frames: trades and book changes; frames of other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.functions.canonical import canonical_pair
@@ -41,26 +41,34 @@ def _levels(levels: Column, price: str, size: str) -> Column:
     return F.transform(F.coalesce(levels, F.array()), lambda l: F.struct(l[price].alias("price"), l[size].alias("size")))
 
 
+def _first_with(events: Column, part: str) -> Column:
+    """Place of the first event of a frame that has something in ``part``."""
+    return F.array_position(F.transform(events, lambda e: F.size(F.coalesce(e[part], F.array())) > 0), True) - 1
+
+
 def coinbase_trades(frames: DataFrame) -> DataFrame:
-    """The first trade of a frame carries its sequence number, the others -1; a malformed number makes the frame an error."""
+    """The first trade of a frame carries its sequence number, the others -1; a malformed number makes the frame an error.
+
+    Both are told within the frame's arrays, so decoding needs no shuffle.
+    """
+    malformed = lambda t: strict_double(t["price"]).isNull() | strict_double(t["size"]).isNull()
+    bad = F.exists(F.flatten(F.transform("j.events", lambda e: F.coalesce(e["trades"], F.array()))), malformed)
     rows = (
-        parsed(frames, "coinbase").where("j.channel = 'market_trades'").select("frame_id", "recv_us", "j.sequence_num", F.posexplode("j.events").alias("i", "e"))
-        .select("frame_id", "recv_us", "sequence_num", "i", F.posexplode("e.trades").alias("k", "t"))
-        .withColumns({"price": strict_double("t.price"), "size": strict_double("t.size")})
+        parsed(frames, "coinbase").where("j.channel = 'market_trades'").where(~F.coalesce(bad, F.lit(False)))
+        .select("recv_us", "j.sequence_num", _first_with(F.col("j.events"), "trades").alias("head"), F.posexplode("j.events").alias("i", "e"))
+        .select("recv_us", "sequence_num", "head", "i", F.posexplode("e.trades").alias("k", "t"))
     )
-    frame = Window.partitionBy("frame_id")
-    rows = rows.withColumns({"first": F.row_number().over(frame.orderBy("i", "k")) == 1, "bad": F.max(F.col("price").isNull() | F.col("size").isNull()).over(frame)}).where("not bad")
     return rows.select(
-        F.lit("coinbase").alias("venue"), canonical_pair(F.col("t.product_id")).alias("symbol"), F.col("t.trade_id").alias("trade_id"), "price", "size", side("t.side").alias("side"),
-        rfc3339_us("t.time", "recv_us").alias("event_time_us"), F.col("recv_us").alias("ingest_time_us"), F.when(F.col("first"), F.col("sequence_num")).otherwise(-1).alias("sequence"),
+        F.lit("coinbase").alias("venue"), canonical_pair(F.col("t.product_id")).alias("symbol"), F.col("t.trade_id").alias("trade_id"), strict_double("t.price").alias("price"), strict_double("t.size").alias("size"), side("t.side").alias("side"),
+        rfc3339_us("t.time", "recv_us").alias("event_time_us"), F.col("recv_us").alias("ingest_time_us"), F.when((F.col("i") == F.col("head")) & (F.col("k") == 0), F.col("sequence_num")).otherwise(-1).alias("sequence"),
     )
 
 
 def coinbase_book(frames: DataFrame) -> DataFrame:
     """A change per event with updates; the frame's first such event carries the sequence; 'offer' is the ask side."""
     rows = (
-        parsed(frames, "coinbase").where("j.channel = 'l2_data'").select("frame_id", "recv_us", "j.sequence_num", F.posexplode("j.events").alias("i", "e")).where("size(e.updates) > 0")
-        .withColumn("first", F.row_number().over(Window.partitionBy("frame_id").orderBy("i")) == 1)
+        parsed(frames, "coinbase").where("j.channel = 'l2_data'")
+        .select("recv_us", "j.sequence_num", _first_with(F.col("j.events"), "updates").alias("head"), F.posexplode("j.events").alias("i", "e")).where("size(e.updates) > 0")
     )
     of = lambda bid: F.transform(
         F.filter("e.updates", lambda u: (u["side"] == "bid") if bid else (u["side"] != "bid")),
@@ -68,7 +76,7 @@ def coinbase_book(frames: DataFrame) -> DataFrame:
     )
     return rows.select(
         F.lit("coinbase").alias("venue"), canonical_pair(F.col("e.product_id")).alias("symbol"), (F.col("e.type") == "snapshot").alias("is_snapshot"), of(True).alias("bids"), of(False).alias("asks"),
-        rfc3339_us(F.col("e.updates")[0]["event_time"], "recv_us").alias("event_time_us"), F.col("recv_us").alias("ingest_time_us"), F.when(F.col("first"), F.col("sequence_num")).otherwise(-1).alias("sequence"),
+        rfc3339_us(F.col("e.updates")[0]["event_time"], "recv_us").alias("event_time_us"), F.col("recv_us").alias("ingest_time_us"), F.when(F.col("i") == F.col("head"), F.col("sequence_num")).otherwise(-1).alias("sequence"),
     )
 
 

@@ -33,6 +33,18 @@ def accepted_quotes(quotes: DataFrame, order: str) -> DataFrame:
     return seen.where("__seen is null or event_time_us >= __seen").drop("__seen")
 
 
+#: Venues that a quote's row is compared with at most.
+MOST_VENUES = 64
+
+
+def venues_of(quotes: DataFrame) -> list[str]:
+    """The venues that occur, sorted; they are few, which is checked, so they are brought to the driver."""
+    found = [r[0] for r in quotes.where("venue is not null").select("venue").distinct().limit(MOST_VENUES + 1).collect()]
+    if len(found) > MOST_VENUES:
+        raise ValueError(f"more than {MOST_VENUES} venues")
+    return sorted(found)
+
+
 def pair_observations(quotes: DataFrame, venues: list[str], order: str, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
     """All fresh pairs at every accepted quote: (symbol, order, venue_a, venue_b, price_a, price_b, bps, times).
 

@@ -70,7 +70,18 @@ def pipeline_stats(status: DataFrame, *keys: str) -> DataFrame:
     return status.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("received"), F.count_if(F.col("status") != "duplicate").alias("published"), n("duplicate").alias("duplicates"),
         n("gap").alias("gaps"), n("regression").alias("regressions"), F.sum("missing").alias("missed"),
-    ).withColumn("lost", F.col("received") - F.col("published") - F.col("duplicates"))
+    )
+
+
+def lost_messages(received: DataFrame, dropped: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
+    """(keys, received, dropped, stored, lost): what came in and was neither dropped on purpose nor found at the output.
+
+    Each side is counted on its own, so messages lost between them show; a negative number is more output than input.
+    """
+    of = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(name))
+    sides = of(received, "received").unionByName(of(dropped, "dropped")).unionByName(of(stored, "stored"))
+    counts = sides.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s) for s in ("received", "dropped", "stored")])
+    return counts.withColumn("lost", F.col("received") - F.col("dropped") - F.col("stored"))
 
 
 def layout_report(checkpoints: DataFrame, layout: str, duration_ms: str, failed: str, state_bytes: str) -> DataFrame:

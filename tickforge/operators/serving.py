@@ -99,6 +99,18 @@ def compare_fields(live: DataFrame, replay: DataFrame, tolerance: float = 1e-9)
     return both.where(F.abs(F.col("live") - F.col("replay")) / scale > tolerance)
 
 
+LEAST_SHARED = 5
+
+
+def comparison_verdict(live: DataFrame, replay: DataFrame, tolerance: float = 1e-9, least: int = LEAST_SHARED) -> DataFrame:
+    """One row (shared, mismatched, verdict): too_few shared windows prove nothing, else mismatch or equal."""
+    shared = live.select(*_KEY).distinct().join(replay.select(*_KEY).distinct(), _KEY).agg(F.count(F.lit(1)).alias("shared"))
+    wrong = compare_fields(live, replay, tolerance).agg(F.count(F.lit(1)).alias("mismatched"))
+    verdict = F.when(F.col("shared") < least, "too_few").when(F.col("mismatched") > 0, "mismatch").otherwise("equal")
+    one = F.lit(1).alias("one")
+    return shared.select("shared", one).join(wrong.select("mismatched", one), "one").select("shared", "mismatched", verdict.alias("verdict"))
+
+
 def one_sided(a: DataFrame, b: DataFrame) -> DataFrame:
     """Keys of ``a`` that ``b`` lacks."""
     return a.select(*_KEY).distinct().join(b.select(*_KEY), _KEY, "left_anti")

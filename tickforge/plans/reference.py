@@ -16,6 +16,7 @@ from tickforge.plans.problems import _VS, _canon, canonical
 from tickforge.sources import table
 from tickforge.sources.shared import write_shared
 
+#: Venues of the test tables, for the SQL alone.
 VENUES = ["altamar", "kesto", "norvex", "pirum"]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -172,20 +173,21 @@ def best_quotes(spark, d):
     return serving.best_quotes(serving.latest_quotes(q, "tie")).select("symbol", "venue", "quote_id")
 
 
-_D3 = f"""{_Q}, q0 AS (SELECT * FROM c_quotes WHERE symbol IS NOT NULL AND event_time_us > 0 AND venue IN ('altamar', 'kesto', 'norvex', 'pirum')),
+_D3_ = f"""{_Q}, q0 AS (SELECT * FROM c_quotes WHERE symbol IS NOT NULL AND event_time_us > 0 AND venue IN ('altamar', 'kesto', 'norvex', 'pirum')),
 q1 AS (SELECT *, max(event_time_us) OVER (PARTITION BY symbol, venue ORDER BY quote_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) seen FROM q0),
 q AS (SELECT symbol, venue, quote_id, event_time_us t, struct_pack(t := event_time_us, m := (bid_price + ask_price) / 2, ok := coalesce(bid_price > 0 AND ask_price > 0 AND ask_price >= bid_price, false)) s FROM q1 WHERE seen IS NULL OR event_time_us >= seen),
 n AS (SELECT symbol, quote_id, t, {", ".join(f"last_value(CASE WHEN venue = '{v}' THEN s END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY quote_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {v}" for v in VENUES)} FROM q),
 p AS ({" UNION ALL ".join(f"SELECT symbol, quote_id, t, '{x}' venue_a, '{y}' venue_b, {x} a, {y} b FROM n" for i, x in enumerate(VENUES) for y in VENUES[i + 1:])}),
 o AS (SELECT symbol, quote_id, venue_a, venue_b, a.m price_a, b.m price_b, least(a.t, b.t) window_start_us, greatest(a.t, b.t) event_time_us, (b.m - a.m) / ((a.m + b.m) / 2) * 10000 AS bps
-  FROM p WHERE a.ok AND b.ok AND t - a.t <= 5000000 AND t - b.t <= 5000000),
+  FROM p WHERE a.ok AND b.ok AND t - a.t <= AGE AND t - b.t <= AGE),
 """
+_D3 = _D3_.replace("AGE", "5000000")
 
 
 @query(f"""{_D3} z AS (SELECT 1) SELECT symbol, venue_a, venue_b, count(*) AS n, round(sum(bps), 3) AS bps_sum, min(window_start_us) AS first_us, max(event_time_us) AS last_us FROM o GROUP BY ALL""")
 def pair_observations(spark, d):
     q = _quotes(spark, d).where("symbol is not null and event_time_us > 0")
-    o = dv.pair_observations(q, VENUES, "quote_id")
+    o = dv.pair_observations(q, dv.venues_of(q), "quote_id")
     return o.groupBy("symbol", "venue_a", "venue_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("divergence_bps"), 3).alias("bps_sum"), F.min("window_start_us").alias("first_us"), F.max("event_time_us").alias("last_us"))
 
 
@@ -193,7 +195,7 @@ def pair_observations(spark, d):
 SELECT symbol, quote_id, venue_a, venue_b, round(bps, 4) AS divergence_bps, round((bps - mu) / sd, 3) AS zscore, window_start_us, event_time_us FROM z WHERE n >= 30 AND abs(bps) >= 5 AND sd > 0 AND abs((bps - mu) / sd) >= 3""")
 def divergence_events(spark, d):
     q = _quotes(spark, d).where("symbol is not null and event_time_us > 0")
-    e = dv.divergences(q, VENUES, "quote_id")
+    e = dv.divergences(q, dv.venues_of(q), "quote_id")
     return e.select("symbol", "quote_id", "venue_a", "venue_b", F.round("divergence_bps", 4).alias("divergence_bps"), F.round("zscore", 3).alias("zscore"), "window_start_us", "event_time_us")
 
 
@@ -303,7 +305,7 @@ def sequence_status(spark, d):
 
 
 @query(_sequence_sql(True, """SELECT venue, scope_channel, count(*) AS received, count(*) FILTER (WHERE u.s <> 'duplicate') AS published, count(*) FILTER (WHERE u.s = 'duplicate') AS duplicates, count(*) FILTER (WHERE u.s = 'gap') AS gaps,
-  count(*) FILTER (WHERE u.s = 'regression') AS regressions, CAST(sum(u.m) AS BIGINT) AS missed, CAST(0 AS BIGINT) AS lost FROM o GROUP BY ALL"""))
+  count(*) FILTER (WHERE u.s = 'regression') AS regressions, CAST(sum(u.m) AS BIGINT) AS missed FROM o GROUP BY ALL"""))
 def sequence_stats(spark, d):
     """Counters of the pipeline, where a gap or regression makes the key unknown again."""
     t = _trades(spark, d).select("venue", "symbol", "arrival", "sequence").where("symbol is not null")
