@@ -50,20 +50,51 @@ def test_sequence_state_outlives_batches(spark, rows, feed):
 
 
 def test_quotes_equal_the_fold(spark, rows, feed):
+    d = generate.book_deltas(spark, 300).withColumn("session_id", F.lit(None).cast("bigint")).coalesce(1)
+    done([jobs.to_memory(jobs.quote_stream(feed(d, "b", 1), grid_us=30_000), "quotes")])
+    states = folds.book_states(d)
+    ticks = folds.book_ticks(states, 30_000)
+    cols = ("session_id", "venue", "symbol", "bid_price", "ask_price", "imbalance", "event_time_us", "emit_time_us")
+    got = spark.table("quotes")
+    assert rows(got, *cols) == rows(ticks.where("not suppressed"), *cols) and got.count() > 50
+    last = got.groupBy("session_id", "venue", "symbol").agg(*[F.max(c).alias(c) for c in jobs._COUNTERS])
+    assert rows(last, "venue", "symbol", *jobs._COUNTERS) == rows(folds.book_counters(states, ticks), "venue", "symbol", *jobs._COUNTERS)
+
+
+def test_book_state_outlives_batches(spark, rows, feed):
     d = generate.book_deltas(spark, 90)
-    q = jobs.to_memory(jobs.quote_stream(feed(d.coalesce(1), "b", 1)), "quotes")
-    done([q])
-    want = {}
-    for r in d.collect():
-        book = want.setdefault((r.venue, r.symbol), (folds.Book(), []))
-        book[0].apply(r.is_snapshot, r.bids, r.asks, r.sequence, r.event_time_us)
-        top = book[0].quote()
-        if not book[0].crossed and top and (not book[1] or book[1][-1] != top):
-            book[1].append(top)
-    got = {}
-    for r in spark.table("quotes").orderBy("event_time_us").collect():
-        got.setdefault((r.venue, r.symbol), []).append((r.bid_price, r.bid_size, r.ask_price, r.ask_size, r.mid, r.spread_bps, r.imbalance))
-    assert got == {k: v[1] for k, v in want.items()}
+    slow = d.withColumns({"event_time_us": F.col("event_time_us") * 1_000, "sequence": F.expr("sequence div 30")})  # each change in a tick of its own
+    done([jobs.to_memory(jobs.quote_stream(feed(slow, "b3", 3)), "quotes3")])
+    want = folds.book_ticks(folds.book_states(slow.withColumn("session_id", F.lit(-1))))
+    assert rows(spark.table("quotes3"), "venue", "symbol", "bid_price", "emit_time_us") == rows(want.where("not suppressed"), "venue", "symbol", "bid_price", "emit_time_us")
+
+
+def test_monolith_and_records(spark, rows, feed, tmp_path):
+    from tickforge.sources.schemas import Registry, record
+
+    deltas, t = generate.book_deltas(spark, 600), generate.trades(spark, 300)
+    config = Config(window_seconds=1, checkpoint_path=f"{tmp_path}/m", baseline_ring=5, baseline_warm=2, min_bps=0.0, min_zscore=0.5, max_quote_age_us=60_000_000)
+    done(jobs.run_job("monolith", (feed(t, "mt", 1), feed(deltas.coalesce(1), "mb", 1)), config, f"file://{tmp_path}/mono"))
+    quotes = folds.book_ticks(folds.book_states(deltas.withColumn("session_id", F.lit(-1)))).where("not suppressed")
+    assert quotes.count() > 0 and spark.read.parquet(f"file://{tmp_path}/mono/lake").count() == 300
+    spark.read.parquet(f"file://{tmp_path}/mono/divergence").count()
+    registry = Registry()
+    number = registry.register("book", record("book_delta"))
+    framed = jobs.framed_stream(deltas, "book_delta", number).unionByName(spark.createDataFrame([("x", bytearray(b"junk"))], "key string, value binary"))
+    framed.withColumn("sequence", F.lit(0)).write.parquet(f"file://{tmp_path}/framed")
+    read = jobs.records(jobs.file_stream(spark, f"file://{tmp_path}/framed", "key string, value binary"), registry, "book_delta")
+    done([jobs.to_memory(jobs.readable(read), "good"), jobs.to_memory(jobs.poison(read), "bad")])
+    assert rows(spark.table("good"), "venue", "symbol", "event_time_us") == rows(deltas, "venue", "symbol", "event_time_us")
+    assert spark.table("bad").count() == 1
+
+
+def test_continuous_jobs_go_on_until_stopped(spark, feed, tmp_path):
+    config = Config(trigger_seconds=1, checkpoint_path=f"{tmp_path}/on", lake_path=f"file://{tmp_path}/on-lake")
+    (q,) = jobs.run_job("lakehouse", feed(generate.trades(spark, 30), "on", 1), config, f"file://{tmp_path}/o", continuous=True)
+    q.processAllAvailable()
+    assert q.isActive
+    q.stop()
+    assert spark.read.parquet(f"file://{tmp_path}/on-lake").count() == 30
 
 
 def test_latest_table_and_lake(spark, rows, feed, tmp_path):
@@ -104,6 +135,7 @@ def test_late_trades_correct_bars_up_to_the_cut_off(spark, rows, feed, tmp_path)
     t = spark.createDataFrame(data, "sequence bigint, venue string, symbol string, price double, size double, event_time_us bigint, ingest_time_us bigint")
     config = Config(checkpoint_path=f"{tmp_path}/c")
     done(jobs.run_job("late", feed(t, "late", 2), config, f"file://{tmp_path}/o"))
+    assert spark.read.parquet(f"file://{tmp_path}/o/late-bars/open/version=1").count() == 0  # past its cut-off
     at = lambda v: rows(jobs.corrected_bars_at(spark, f"file://{tmp_path}/o/late-bars", v), "low", "high", "median_price", "trade_count")
     assert at(0) == [(5.0, 7.0, 5.0, 2)] and at(1) == [(1.0, 7.0, 5.0, 3)]
 

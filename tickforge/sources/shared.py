@@ -44,6 +44,12 @@ def write_shared(df: DataFrame, name: str, lasting: bool = False) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it exists."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def will_vanish(spark: SparkSession, path: str) -> None:
     """Note a folder to be deleted when the application ends."""
     _intermediate.append((path, spark.sparkContext._jsc.hadoopConfiguration()))
