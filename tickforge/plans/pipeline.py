@@ -185,3 +185,26 @@ def stream_divergences(spark, d):
     q = _stream(spark, d, "quotes").where("symbol is not null and event_time_us > 0").withColumn("arrival", F.col("quote_id"))
     e = _run(spark, jobs.divergence_stream(q, _EARLY), "divergences")
     return e.select("symbol", "arrival", "venue_a", "venue_b", F.round("divergence_bps", 4).alias("divergence_bps"), _within(F.col("zscore")).alias("zscore"), "window_start_us", "event_time_us")
+
+
+@query(f"""{ref._STATES_SQL.replace(ref._B, f"WITH c_book_deltas AS (SELECT * REPLACE (lower(trim(venue)) AS venue, {_C} AS symbol) FROM book_deltas)")} SELECT session_id, venue, symbol, u.o AS arrival, bp AS bid_price, u.b.size AS bid_size, ap AS ask_price, u.a.size AS ask_size,
+  round(CASE WHEN u.bs + u.az > 0 THEN (u.bs - u.az) / (u.bs + u.az) ELSE 0.0 END + 1e-10, 6) AS imbalance, u.e AS event_time_us, emit AS emit_time_us FROM fin WHERE NOT suppressed""")
+def stream_quotes(spark, d):
+    """Quotes on the grid from a stream of book changes."""
+    from tickforge.streaming import jobs
+
+    q = _run(spark, jobs.quote_stream(_stream(spark, d, "book_deltas")), "quotes")
+    return q.select("session_id", "venue", "symbol", "arrival", "bid_price", "bid_size", "ask_price", "ask_size", F.round(F.col("imbalance") + 1e-10, 6).alias("imbalance"), "event_time_us", "emit_time_us")
+
+
+@query("""WITH g AS (SELECT CAST(i AS BIGINT) AS i, ['BTC-USD', 'ETH-USD', 'SOL-USD'][i % 3 + 1] AS symbol, ['binance', 'coinbase', 'kraken'][(i // 3) % 3 + 1] AS venue FROM range(20000) r(i))
+SELECT venue, symbol, count(*) AS n, min(1700000000000000 + i * 3333) AS first_us, max(1700000000000000 + i * 3333) AS last_us, CAST(sum(i) AS BIGINT) AS sequence_sum, true AS prices_near, true AS sizes_near, true AS both_sides FROM g GROUP BY ALL""")
+def generated_feed(spark, d):
+    """A synthetic feed: who trades what and when is fixed; prices lie within 5 basis points of the base, sizes below 2."""
+    from tickforge.sources import generate
+
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in generate.BASES.items() for x in kv]), F.col("symbol"))
+    return generate.trades(spark, 20_000).groupBy("venue", "symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_time_us").alias("first_us"), F.max("event_time_us").alias("last_us"), F.sum("sequence").alias("sequence_sum"),
+        F.bool_and(F.abs(F.col("price") / base - 1) <= 0.0006).alias("prices_near"), F.bool_and(F.col("size").between(0, 2)).alias("sizes_near"), (F.countDistinct("side") == 2).alias("both_sides"),
+    )
