@@ -21,8 +21,8 @@ from tickforge.sources.shared import shared_dir, will_vanish, write_shared
 
 #: Positions that one bitmap covers; a file longer than this has several.
 BITMAP_POSITIONS = 32_768
-#: Batches in which a whole feed is applied.
-BATCHES = 4
+#: Batches in which a whole feed is applied; each costs a pass over the index.
+BATCHES = 2
 
 BOOK = ["session_id", "venue", "symbol"]
 
